@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import importlib
 
-#: module and query of each operator
+#: query and module of each operator
 OPERATORS = {
     "op1_url_filters": "op1_urls",
+    "op2_quality_rules": "op2_quality",
+    "op4_packing": "op4_packing",
+    "op9_simhash": "op9_simhash",
+    "op10_language_id": "op10_language",
 }
 
 
