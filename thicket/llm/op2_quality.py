@@ -71,7 +71,7 @@ class Texts:
 def repeated(words: pa.Array, doc: np.ndarray, width: int = 5) -> np.ndarray:
     """1 for each word that lies in a window of so many words that its text holds twice or more.
 
-    Windows are compared by a 64-bit linear hash of the words' numbers with random odd factors.
+    Windows are compared by a 64-bit hash of the words' numbers in this batch.
     """
     covered = np.zeros(len(words), np.int64)
     n = len(words) - width + 1
@@ -142,7 +142,7 @@ def plan(df: DataFrame, text: str, rules: Sequence[Rule] = RULES, sample_rows: i
                 texts = Texts(batch.column("_text"))
                 began = time.perf_counter()
                 failed = int(rule.fails(texts).sum())
-                yield pa.RecordBatch.from_pydict({"rule": [i], "s": [time.perf_counter() - began], "failed": [failed], "n": [batch.num_rows]})
+                yield pa.RecordBatch.from_pydict({"rule": pa.array([i], pa.int32()), "s": [time.perf_counter() - began], "failed": [failed], "n": [batch.num_rows]})
 
     rows = df.select(F.col(text).alias("_text"))
     share = min(1.0, sample_rows / max(1, rows.count()))
