@@ -155,21 +155,23 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     return tuple((k, " ".join(t for _, t in sorted(v))[:chars]) for k, v in sorted(got.items()))
 
 
-def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], keep: list[str], text: str = "text") -> DataFrame:
-    """The columns `keep` of docs with lang_pred and score; only the text decides. Names in `keep` must differ from these two.
+def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], keep: list[str], text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns `keep` of docs with the language and score under `names`, which must not be in `keep`; only the text decides.
 
     Whole texts are parsed; repeated rows stay; ties go to the first language by code point.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(samples)  # at most `chars` characters a language
+    column = text if text in keep else "_text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(shipped.value)
-        for batch in slices(batches, "_text", 4 << 20):
-            names, scores = model.predict(batch.column("_text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(names, pa.string()), pa.array(scores)], [*keep, "lang_pred", "score"])
+        for batch in slices(batches, column, 4 << 20):
+            found, scores = model.predict(batch.column(column).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(found, pa.string()), pa.array(scores)], [*keep, *names])
 
     kinds = [f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep]
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, ", ".join([*kinds, "lang_pred string", "score double"]))
+    rows = docs.select(*keep) if column == text else docs.select(*keep, F.col(text).alias(column))
+    return rows.mapInArrow(run, ", ".join([*kinds, f"`{names[0]}` string", f"`{names[1]}` double"]))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

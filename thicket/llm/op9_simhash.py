@@ -204,15 +204,15 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     Repeated rows count as copies. Columns stay as they are.
     """
     row = F.xxhash64(*[F.col(c) for c in docs.columns])
-    keyed = docs.withColumn("_row", row)
-    made, classes = near_classes(keyed.select(doc_id, "_row", text), [doc_id, "_row"], text)
-    order = F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("i"), F.col("_row").alias("r"))
+    keyed = docs.withColumn("_thicket_row", row)
+    made, classes = near_classes(keyed.select(doc_id, "_thicket_row", text), [doc_id, "_thicket_row"], text)
+    order = F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("i"), F.col("_thicket_row").alias("r"))
     by_fp = made.groupBy("fp").agg(F.min(order).alias("first")).join(classes, "fp", "left")
-    best = by_fp.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first.r").alias("_any"), F.min("first").alias("first"))
-    chosen = best.select(F.col("first.r").alias("_row"))
-    times = made.groupBy("_row").agg(F.count("*").alias("_n"))
-    chosen = stored(chosen.join(times, "_row"))
-    once = keyed.join(chosen, "_row")
-    again = once.where("_n > 1").dropDuplicates(["_row"]) if not chosen.where("_n > 1").isEmpty() else None
+    best = by_fp.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    chosen = best.select(F.col("first.r").alias("_thicket_row"))
+    times = made.groupBy("_thicket_row").agg(F.count("*").alias("_n"))
+    chosen = stored(chosen.join(times, "_thicket_row"))
+    once = keyed.join(chosen, "_thicket_row")
+    again = once.where("_n > 1").dropDuplicates(["_thicket_row"]) if not chosen.where("_n > 1").isEmpty() else None
     once = once.where("_n = 1")
     return (once.unionByName(again) if again is not None else once).select(docs.columns)

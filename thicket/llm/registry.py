@@ -8,7 +8,12 @@ import importlib
 OPERATORS = {
     "op1_url_filters": "op1_urls",
     "op2_quality_rules": "op2_quality",
+    "op3_mixing": "op3_mixing",
     "op4_packing": "op4_packing",
+    "op5_pii": "op5_pii",
+    "op6_ann": "op6_ann",
+    "op7_brown_lm": "op7_brown",
+    "op8_token_counts": "op8_tokens",
     "op9_simhash": "op9_simhash",
     "op10_language_id": "op10_language",
 }
