@@ -20,7 +20,7 @@ def test_hilbert_curve_visits_neighbours():
 def brute(rows, ids, k):
     out = []
     fine = [(i, v) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
-    for q, x in [(i, v) for i, v in fine if i in ids]:
+    for q, x in {i: v for i, v in fine if i in ids}.items():
         d = sorted({(math.dist(x, v), i) for i, v in fine if i != q})
         out += [(q, r + 1, i, s) for r, (s, i) in enumerate(d[:k])]
     return sorted(out)
