@@ -49,13 +49,13 @@ def by_turns(names: Sequence[str | None], weights: Sequence[float] = WEIGHTS) ->
     return dict(zip([*ordered, *([None] if None in names else [])], cycle(weights), strict=False))
 
 
-def mix(docs: DataFrame, size: Column, source: str = "source", key: Sequence[str] = ("doc_id",), weights: Callable[[Sequence[str | None]], dict] = by_turns, share: float = 1.0, most: float = MOST_EPOCHS, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, size: Column, source: str = "source", key: Sequence[str] = ("doc_id",), weights: Callable[[Sequence[str | None]], dict] = by_turns, share: float = 1.0, most: float = MOST_EPOCHS, seed: int = 17, near_keys: int = 64) -> DataFrame:
     """docs with _size, _source_size, _target and _taken: the words that the mix takes from the document, a whole number of times its size.
 
     weights: from the sources' names, null included, to their weights. The budget is `share` of all sizes. A source with
     target T and size S is read floor(T / S) times whole, and of the next time it gives the documents of the smallest keys
-    until T is reached; the document at the cut comes in if most of it fits. So a source misses its target by half a
-    document at most. The hash of `key` and the seed is the key, and rows that agree in `key` are cut together: `key` should name
+    as long as they fit, and one more of the `near_keys` that follow, the one that fills best what is left. So a source
+    misses its target by half a document at most. The hash of `key` and the seed is the key, and rows that agree in `key` are cut together: `key` should name
     documents. Sizes of 0 take nothing. The source names go to the driver, one row each, as the weights are given there.
     Results are the same for every partitioning. Columns of docs may have any other names than these four.
     """
@@ -83,13 +83,21 @@ def mix(docs: DataFrame, size: Column, source: str = "source", key: Sequence[str
     near = ranged.join(at, ranged["_s"].eqNullSafe(at["_as"]) & (ranged["_p"] == at["_ap"]))
     steps = near.groupBy("_s", "before", "_rest", "_key").agg(F.sum("_size").alias("n"))
     upto = steps.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("_s").orderBy("_key")))
-    cut = upto.where("upto - n / 2 <= _rest").groupBy("_s").agg(F.max("_key").alias("_cut"))
-    # if no row of that partition fits, all before it do: the last key that comes in is below its first
-    floor = upto.groupBy("_s").agg(F.min("_key").alias("_first"))
-    cuts = floor.join(cut, floor["_s"].eqNullSafe(cut["_s"]), "left").select(floor["_s"].alias("_cs"), "_cut", "_first")
-    cuts = spark.createDataFrame(cuts.collect(), "_cs string, _cut long, _first long")  # one row a source
+    # all keys up to _low come in: those whose sums fit, or what stands before a partition whose first does not
+    fits = F.col("upto") <= F.col("_rest")
+    ends = upto.groupBy("_s", "before", "_rest").agg(F.max(F.when(fits, F.col("_key"))).alias("cut"), F.max(F.when(fits, F.col("upto"))).alias("used"), F.min("_key").alias("first")).collect()
+    lows = [(r["_s"], r["cut"] if r["cut"] is not None else max(r["first"] - 1, -(2**63)), float(r["_rest"] - (r["used"] if r["used"] is not None else r["before"]))) for r in ends]
+    lows = spark.createDataFrame(lows, "_cs string, _low long, _left double")  # one row a source
+    # and one key more of the next few, whose size fills best what is left
+    later = ranged.join(lows, ranged["_s"].eqNullSafe(lows["_cs"])).where("_key > _low")
+    later = later.withColumn("r", F.dense_rank().over(Window.partitionBy("_s").orderBy("_key"))).where(F.col("r") <= near_keys)
+    later = later.groupBy("_s", "_left", "_key").agg(F.sum("_size").alias("n")).withColumn("miss", F.abs(F.col("n") - F.col("_left"))).where("miss < _left")
+    extra = later.groupBy("_s").agg(F.min(F.struct("miss", "_key"))["_key"].alias("_extra")).collect()
+    fill = {r["_s"]: r["_extra"] for r in extra}
+    cuts = [(r["_cs"], r["_low"], fill.get(r["_cs"])) for r in lows.collect()]
+    cuts = spark.createDataFrame(cuts, "_cs string, _low long, _extra long")
     whole = plan_df.join(cuts, plan_df["_s"].eqNullSafe(cuts["_cs"]), "left").drop("_cs").withColumnRenamed("_s", "_ps")
-    more = F.when(F.col("_rest") <= 0, False).when(F.col("_cut").isNotNull(), F.col("_key") <= F.col("_cut")).when(F.col("_first").isNotNull(), F.col("_key") < F.col("_first")).otherwise(F.lit(False))
+    more = F.coalesce(F.col("_key") <= F.col("_low"), F.lit(False)) | F.coalesce(F.col("_key") == F.col("_extra"), F.lit(False))
     out = sized.join(whole, sized[source].eqNullSafe(whole["_ps"]), "left")
     return out.withColumn("_taken", F.col("_size") * (F.col("_epochs") + more.cast("int"))).select(*docs.columns, "_size", "_source_size", "_target", "_taken")
 
