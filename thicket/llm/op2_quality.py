@@ -180,3 +180,28 @@ def judge(df: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, keep
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+#: the same counts and rules; which rule rejects does not depend on the cascade's order
+ORACLE = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), gram AS (
+  SELECT doc_id, unnest(range(1, len(ws) - 3)) AS i, ws FROM t WHERE len(ws) >= 5
+), twice AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[i : i + 4], ' ')) AS n FROM gram
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(0, 5) r(k) WHERE n > 1 GROUP BY doc_id
+), counted AS (
+  SELECT t.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS full_lines, coalesce(covered.n, 0) AS n_repeat_words,
+    len(regexp_extract_all(t, '!')) AS exclaim, len(regexp_extract_all(t, '[A-Z]')) AS big, len(regexp_extract_all(t, '[a-z]')) AS small, len(list_filter(ws, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS letter_words
+  FROM t LEFT JOIN covered USING (doc_id)
+), judged AS (
+  SELECT *, CAST(len(full_lines) - len(list_distinct(full_lines)) AS BIGINT) AS n_dup_lines, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counted
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR n_symbols > 1e-1 * n_words OR exclaim > 3e-1 * n_words OR big > 6e-1 * greatest(big + small, 20) OR word_chars < 2 * n_words OR word_chars > 14 * n_words
+    OR letter_words < 7e-1 * n_words OR n_dup_lines > 3e-1 * len(full_lines)) AS kept
+FROM judged
+"""
