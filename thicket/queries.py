@@ -546,6 +546,63 @@ def baseline_check(spark: SparkSession, d: str) -> DataFrame:
     return r6_all(E.check_baseline(res, body), "mean")
 
 
+@query(f"""WITH {ROWS_SQL}, c AS (SELECT quantile_cont(y, 0.8) AS cut FROM rows) SELECT k, n, CASE WHEN y > cut THEN 5.0 ELSE 1.0 END AS weight FROM rows, c""")
+def derived_weights(spark: SparkSession, d: str) -> DataFrame:
+    return E.with_weights(rows(spark, d), "y", "k", 3, noise=0.0).select("k", "n", F.col("_w").alias("weight"))
+
+
+@query(f"WITH {ROWS_SQL} SELECT CAST(0 AS BIGINT) AS outside, true AS near FROM rows LIMIT 1")
+def missing_injection(spark: SparkSession, d: str) -> DataFrame:
+    """A tenth of the rows above the middle lose a value; none below does."""
+    t = E.with_missing(rows(spark, d).withColumn("id", F.col("k") * 8 + F.col("n")), "q", "id", 0.1, 5, F.col("y") > 5)
+    lost = F.isnan("q")
+    share = F.sum(F.when(lost, 1).otherwise(0)) / F.sum(F.when(F.col("y") > 5, 1).otherwise(0))
+    return t.agg(F.sum(F.when(lost & (F.col("y") <= 5), 1).otherwise(0)).cast("long").alias("outside"), F.abs(share - 0.1).between(0, 0.05).alias("near"))
+
+
+@query(f"""WITH {ROWS_SQL}, c AS (SELECT y, sum(sw) OVER (ORDER BY y) / sum(sw) OVER () AS c FROM (SELECT y, sum(w) AS sw FROM rows GROUP BY y)), q AS (SELECT * FROM (VALUES (0.05), (0.5), (0.95)) v(q)),
+b AS (SELECT q, max(CASE WHEN c < q THEN c END) AS c0, max(CASE WHEN c < q THEN y END) AS y0, min(CASE WHEN c >= q THEN c END) AS c1, min(CASE WHEN c >= q THEN y END) AS y1 FROM c, q GROUP BY q) SELECT CAST(q AS DOUBLE) AS q, round(y0 + (y1 - y0) * (q - c0) / (c1 - c0), 4) AS value FROM b""")
+def quantiles_interpolated(spark: SparkSession, d: str) -> DataFrame:
+    q = (0.05, 0.5, 0.95)
+    got = E.weighted_quantile_interpolated(rows(spark, d), "y", "w", q)
+    return spark.createDataFrame([(a, round(v, 4)) for a, v in zip(q, got, strict=True)], "q double, value double")
+
+
+@query(f"""WITH {ROWS_SQL}, c AS (SELECT y, sum(sw) OVER (ORDER BY y) AS c, sum(sw) OVER () AS t FROM (SELECT y, sum(w) AS sw FROM rows GROUP BY y)) SELECT round(min(y), 6) AS value FROM c WHERE c >= 0.3 * t""")
+def quantile_lower(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(round(O.weighted_quantile(rows(spark, d), "y", "w", 0.3), 6),)], "value double")
+
+
+@query("""SELECT o_orderstatus AS dataset, 'gbdt' AS booster, o_orderpriority AS library, count(*) AS n, round(min(o_totalprice / 1000), 6) AS low, round(max(o_totalprice / 1000), 6) AS high FROM orders GROUP BY 1, 3""")
+def values_by_library(spark: SparkSession, d: str) -> DataFrame:
+    v = E.values_by_library(fake_results(spark, d), "rmse")
+    return v.select("dataset", "booster", "library", F.size("values").cast("long").alias("n"), r6(F.col("values")[0], "low"), r6(F.element_at("values", -1), "high"))
+
+
+@query("SELECT CAST(1 AS BIGINT) AS tree_id, CAST(3 AS BIGINT) AS nodes, CAST(2 AS BIGINT) AS leaves UNION ALL SELECT 0, 5, 3")
+def inspect_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The node table is a DataFrame like any other."""
+    t = fixed_model().table(spark)
+    return t.groupBy(F.col("tree_id").cast("long").alias("tree_id")).agg(F.count("*").alias("nodes"), F.sum(F.when(F.col("is_leaf"), 1).otherwise(0)).alias("leaves"))
+
+
+@query(f"""WITH z AS (SELECT date_trunc('hour', ts) AS start, value - (1 + {TREE_A} + {TREE_B}) AS e FROM (SELECT ts, value, user_id % 50 AS q, 0.02 AS disc, 'A' AS flag FROM events)) SELECT start, count(*) AS n, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(abs(e)), 6) AS mae FROM z GROUP BY start""")
+def stream_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Events read as a stream and scored; windowed errors."""
+    import uuid
+
+    from thicket.session import shared_dir
+    from thicket.streaming.score import windowed_error
+
+    src = read(spark, d, "events")
+    stream = spark.readStream.schema(src.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    rows_ = stream.select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 50).cast("double").alias("q"), F.lit(0.02).alias("disc"), F.lit("A").alias("flag"), F.col("value").alias("y"))
+    name = f"windows_{uuid.uuid4().hex}"
+    out = windowed_error(rows_, fixed_model(), "ts", "y").writeStream.format("memory").queryName(name).outputMode("complete")
+    out.option("checkpointLocation", f"{shared_dir(spark)}/{name}").trigger(availableNow=True).start().awaitTermination(300)
+    return spark.table(name).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "n", r6(F.col("rmse"), "rmse"), r6(F.col("mae"), "mae"))
+
+
 @query()
 def synthetic_suite(spark: SparkSession, d: str) -> DataFrame:
     """A minimal suite of two generated datasets."""
