@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from thicket.operators.ranking import numbered
+
 MASK = np.uint64(2**64 - 1)
 
 
@@ -28,7 +30,8 @@ def uniform_rows(df: DataFrame, row: str, share: float, seed: int, round_: int =
     """Exactly max(1, floor(n * share)) rows, those of the smallest hashes."""
     n = df.count()
     k = max(1, int(n * share)) if n else 0
-    return df.orderBy(F.xxhash64(F.lit(seed), F.lit(round_), row), row).limit(k)
+    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), F.lit(round_), row))
+    return numbered(hashed, ["_h", row]).where(F.col("_n") < k).drop("_n", "_h")
 
 
 def goss(df: DataFrame, row: str, g: str, h: str, top: float, other: float, seed: int, round_: int = 0) -> DataFrame:
@@ -40,10 +43,12 @@ def goss(df: DataFrame, row: str, g: str, h: str, top: float, other: float, seed
     k, m = max(1, int(n * top)), max(1, int(n * other))
     size: Column = F.abs(F.col(g) * F.col(h))
     marked = df.withColumn("_size", size)
-    least = marked.select("_size").orderBy(F.desc("_size")).limit(k).agg(F.min("_size")).first()[0]
+    least = numbered(marked.select("_size"), [F.desc("_size")]).where(F.col("_n") == k - 1).first()
     if least is None:
         return df
-    rest = marked.where(F.col("_size") < least).orderBy(F.xxhash64(F.lit(seed), F.lit(round_), row), row).limit(m)
+    least = least["_size"]
+    hashed = marked.where(F.col("_size") < least).withColumn("_h", F.xxhash64(F.lit(seed), F.lit(round_), row))
+    rest = numbered(hashed, ["_h", row]).where(F.col("_n") < m).drop("_n", "_h")
     drawn = rest.count()
     scale = (n - k) / drawn if drawn else 1.0
     scaled = rest.withColumns({g: F.col(g) * scale, h: F.col(h) * scale})

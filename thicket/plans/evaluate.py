@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from thicket.functions import metrics as M
 from thicket.functions import objectives as O
 from thicket.operators.model import GBDTModel
+from thicket.operators.ranking import numbered
 from thicket.plans import gblinear
 from thicket.plans.gbdt import GBDTConfig
 from thicket.sources.dataset import Dataset
@@ -52,18 +53,6 @@ def with_lags(df: DataFrame, column: str, order: Sequence[str], lags: Mapping[st
     return df.withColumns({n: F.lag(column, k).over(w) for n, k in lags.items()})
 
 
-def numbered(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """df with _n: the place of each row in the order, from 0. Ranges and their counts, so no task sees all rows."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()).persist()
-    counts = ranged.groupBy("_p").agg(F.count("*").alias("c")).collect()
-    before, total = {}, 0
-    for p, c in sorted(counts):
-        before[p], total = total, total + c
-    offset = F.try_element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("_p")) if before else F.lit(0)
-    return ranged.withColumn("_n", offset + F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1).drop("_p")
-
-
 def slice_rows(df: DataFrame, order: Sequence[str], skip: int, keep: int) -> DataFrame:
     return numbered(df, order).where((F.col("_n") >= skip) & (F.col("_n") < skip + keep)).drop("_n")
 
