@@ -1,6 +1,6 @@
 """Queries over the driver's tables, one or more for each operator, and the same in ANSI SQL.
 
-Floating results are rounded to six digits on both sides.
+Floating results are rounded on both sides, to six digits or, for sums of many rows, to fewer.
 """
 
 from __future__ import annotations
@@ -207,7 +207,7 @@ def bundle_encode(spark: SparkSession, d: str) -> DataFrame:
 HIST_SQL = f"""{ROWS_SQL}, gh AS (SELECT CASE WHEN tax < 0.04 THEN 0 ELSE 1 END AS node, CAST(q AS INT) - 1 AS b0, CASE WHEN disc IS NULL THEN 11 ELSE CAST(round(disc * 100) AS INT) END AS b1, CAST(yc AS INT) AS b2, w * (5 - y) AS g, w AS h FROM rows),
 hist AS (SELECT node, feature, bin, sum(g) AS sg, sum(h) AS sh, count(*) AS n FROM (SELECT node, 0 AS feature, b0 AS bin, g, h FROM gh UNION ALL SELECT node, 1, b1, g, h FROM gh UNION ALL SELECT node, 2, b2, g, h FROM gh) GROUP BY node, feature, bin),
 tot AS (SELECT *, sum(sg) OVER p AS tg, sum(sh) OVER p AS th, sum(n) OVER p AS tn FROM hist WINDOW p AS (PARTITION BY node, feature))"""
-GAIN_SQL = "round(CASE WHEN hl >= 1 AND th - hl >= 1 AND nl >= 5 AND tn - nl >= 5 THEN 0.5 * (gl * gl / (hl + 1) + (tg - gl) * (tg - gl) / (th - hl + 1) - tg * tg / (th + 1)) END, 6)"
+GAIN_SQL = "round(CASE WHEN hl >= 1 AND th - hl >= 1 AND nl >= 5 AND tn - nl >= 5 THEN 0.5 * (gl * gl / (hl + 1) + (tg - gl) * (tg - gl) / (th - hl + 1) - tg * tg / (th + 1)) END, 4)"
 SPLIT = SplitParams(min_samples_leaf=5)
 
 
@@ -220,51 +220,52 @@ def hist(spark: SparkSession, d: str) -> DataFrame:
     return histogram.build(binned(spark, d), ["b0", "b1", "b2"], node="node")
 
 
-def r6_all(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(n, 6) for n in names})
+def r4_all(df: DataFrame, *names: str) -> DataFrame:
+    """Sums of many rows, which differ by the order of addition."""
+    return df.withColumns({n: F.round(n, 4) for n in names})
 
 
-@query(f"WITH {HIST_SQL} SELECT node, feature, bin, round(sg, 6) AS sg, round(sh, 6) AS sh, n FROM hist")
+@query(f"WITH {HIST_SQL} SELECT node, feature, bin, round(sg, 4) AS sg, round(sh, 4) AS sh, n FROM hist")
 def histograms(spark: SparkSession, d: str) -> DataFrame:
-    return r6_all(hist(spark, d), "sg", "sh")
+    return r4_all(hist(spark, d), "sg", "sh")
 
 
-@query(f"WITH {HIST_SQL} SELECT feature, bin, round(sum(sg), 6) AS sg, round(sum(sh), 6) AS sh, CAST(sum(n) AS BIGINT) AS n FROM hist WHERE node = 1 GROUP BY feature, bin")
+@query(f"WITH {HIST_SQL} SELECT feature, bin, round(sum(sg), 4) AS sg, round(sum(sh), 4) AS sh, CAST(sum(n) AS BIGINT) AS n FROM hist WHERE node = 1 GROUP BY feature, bin")
 def histogram_subtract(spark: SparkSession, d: str) -> DataFrame:
     whole = histogram.build(binned(spark, d), ["b0", "b1", "b2"])
-    return r6_all(histogram.subtract(whole, hist(spark, d).where("node = 0")), "sg", "sh")
+    return r4_all(histogram.subtract(whole, hist(spark, d).where("node = 0")), "sg", "sh")
 
 
-@query(f"WITH {HIST_SQL} SELECT node, feature, bin, round(2 * sg, 6) AS sg, round(2 * sh, 6) AS sh, 2 * n AS n FROM hist")
+@query(f"WITH {HIST_SQL} SELECT node, feature, bin, round(2 * sg, 4) AS sg, round(2 * sh, 4) AS sh, 2 * n AS n FROM hist")
 def histogram_merge(spark: SparkSession, d: str) -> DataFrame:
     h = hist(spark, d)
-    return r6_all(histogram.merge(h, h), "sg", "sh")
+    return r4_all(histogram.merge(h, h), "sg", "sh")
 
 
-@query(f"WITH {HIST_SQL} SELECT node, round(sum(g), 6) AS g, round(sum(h), 6) AS h, count(*) AS rows FROM gh GROUP BY node")
+@query(f"WITH {HIST_SQL} SELECT node, round(sum(g), 4) AS g, round(sum(h), 4) AS h, count(*) AS rows FROM gh GROUP BY node")
 def node_totals(spark: SparkSession, d: str) -> DataFrame:
-    return r6_all(histogram.totals(hist(spark, d)), "g", "h")
+    return r4_all(histogram.totals(hist(spark, d)), "g", "h")
 
 
 @query(f"WITH {HIST_SQL}, s AS (SELECT *, sum(sg) OVER p AS gl, sum(sh) OVER p AS hl, sum(n) OVER p AS nl FROM tot WHERE feature = 0 WINDOW p AS (PARTITION BY node ORDER BY bin)) SELECT node, feature, bin, {GAIN_SQL} AS gain, false AS default_left FROM s WHERE bin < 49")
 def split_forward(spark: SparkSession, d: str) -> DataFrame:
-    return r6_all(histogram.forward_gains(hist(spark, d).where("feature = 0"), 49, SPLIT), "gain")
+    return r4_all(histogram.forward_gains(hist(spark, d).where("feature = 0"), 49, SPLIT), "gain")
 
 
 @query(f"WITH {HIST_SQL}, s AS (SELECT *, tg - sum(sg) OVER p AS gl, th - sum(sh) OVER p AS hl, tn - sum(n) OVER p AS nl FROM tot WHERE feature = 1 AND bin < 11 WINDOW p AS (PARTITION BY node ORDER BY bin DESC)) SELECT node, feature, bin - 1 AS bin, {GAIN_SQL} AS gain, true AS default_left FROM s WHERE bin > 0")
 def split_backward(spark: SparkSession, d: str) -> DataFrame:
-    return r6_all(histogram.backward_gains(hist(spark, d).where("feature = 1"), 11, SPLIT), "gain")
+    return r4_all(histogram.backward_gains(hist(spark, d).where("feature = 1"), 11, SPLIT), "gain")
 
 
 @query(f"WITH {HIST_SQL}, s AS (SELECT *, sg AS gl, sh AS hl, n AS nl FROM tot WHERE feature = 2) SELECT node, feature, bin, {GAIN_SQL} AS gain FROM s")
 def split_onehot(spark: SparkSession, d: str) -> DataFrame:
-    return r6_all(histogram.onehot_gains(hist(spark, d).where("feature = 2"), SPLIT), "gain")
+    return r4_all(histogram.onehot_gains(hist(spark, d).where("feature = 2"), SPLIT), "gain")
 
 
 @query(f"""WITH {HIST_SQL}, s AS (SELECT *, sum(sg) OVER p AS gl, sum(sh) OVER p AS hl, sum(n) OVER p AS nl, count(*) OVER p AS k, count(*) OVER (PARTITION BY node) AS m, sum(CAST(power(2, bin) AS BIGINT)) OVER p AS left_bits FROM tot WHERE feature = 1 AND sh > 1e-10 WINDOW p AS (PARTITION BY node ORDER BY -sg / (sh + 1e-6), bin ROWS UNBOUNDED PRECEDING))
 SELECT node, feature, k, {GAIN_SQL} AS gain, CAST(left_bits AS BIGINT) AS left_bits FROM s WHERE k < m""")
 def split_sorted_categories(spark: SparkSession, d: str) -> DataFrame:
-    got = r6_all(histogram.sorted_gains(hist(spark, d).where("feature = 1"), SPLIT), "gain")
+    got = r4_all(histogram.sorted_gains(hist(spark, d).where("feature = 1"), SPLIT), "gain")
     return got.withColumn("left_bits", F.aggregate("left_cats", F.lit(0).cast("long"), lambda a, b: a + F.pow(F.lit(2.0), b).cast("long"))).drop("left_cats")
 
 
@@ -274,13 +275,13 @@ SELECT node, feature, bin, gain, dir = 1 AS default_left FROM (SELECT *, row_num
 def best_splits(spark: SparkSession, d: str) -> DataFrame:
     h = hist(spark, d)
     all_ = histogram.forward_gains(h.where("feature = 0"), 49, SPLIT).unionByName(histogram.forward_gains(h.where("feature = 1"), 11, SPLIT)).unionByName(histogram.backward_gains(h.where("feature = 1"), 11, SPLIT))
-    return histogram.best(r6_all(all_, "gain"))
+    return histogram.best(r4_all(all_, "gain"))
 
 
-@query(f"WITH {HIST_SQL} SELECT node, round(-sign(sum(g)) * greatest(abs(sum(g)) - 10, 0) / (sum(h) + 2), 6) AS value FROM gh GROUP BY node")
+@query(f"WITH {HIST_SQL} SELECT node, round(-sign(sum(g)) * greatest(abs(sum(g)) - 10, 0) / (sum(h) + 2), 4) AS value FROM gh GROUP BY node")
 def leaf_values(spark: SparkSession, d: str) -> DataFrame:
     t = histogram.totals(hist(spark, d))
-    return t.select("node", r6(histogram.leaf_value(F.col("g"), F.col("h"), SplitParams(l1=10, l2=2)), "value"))
+    return t.select("node", F.round(histogram.leaf_value(F.col("g"), F.col("h"), SplitParams(l1=10, l2=2)), 4).alias("value"))
 
 
 @query(f"""WITH {ROWS_SQL}, base AS (SELECT sum(w * y) / sum(w) AS b FROM rows), cells AS (SELECT q, sum(w * (b - y)) AS g, sum(w) AS h, count(*) AS n FROM rows, base GROUP BY q), s AS (SELECT q, lead(q) OVER (ORDER BY q) AS nq, sum(g) OVER (ORDER BY q) AS gl, sum(h) OVER (ORDER BY q) AS hl, sum(n) OVER (ORDER BY q) AS nl, sum(g) OVER () AS tg, sum(h) OVER () AS th, sum(n) OVER () AS tn FROM cells),
@@ -423,13 +424,13 @@ def linear_shap(spark: SparkSession, d: str) -> DataFrame:
     return s.select("k", "n", *[r6(F.col("s")[i], c) for i, c in enumerate(("q", "disc", "tax", "base"))])
 
 
-@query(f"""WITH {ROWS_SQL}, z AS (SELECT q, coalesce(disc, 0) AS disc, w, w * (0.5 - y) AS g FROM rows) SELECT * FROM (SELECT 'G' AS what, round(sum(g), 6) AS v FROM z UNION ALL SELECT 'H', round(sum(w), 6) FROM z UNION ALL SELECT 'gx0', round(sum(g * q), 6) FROM z UNION ALL SELECT 'gx1', round(sum(g * disc), 6) FROM z
-UNION ALL SELECT 'hx0', round(sum(w * q), 6) FROM z UNION ALL SELECT 'hx1', round(sum(w * disc), 6) FROM z UNION ALL SELECT 'hxx00', round(sum(w * q * q), 6) FROM z UNION ALL SELECT 'hxx01', round(sum(w * q * disc), 6) FROM z UNION ALL SELECT 'hxx11', round(sum(w * disc * disc), 6) FROM z)""")
+@query(f"""WITH {ROWS_SQL}, z AS (SELECT q, coalesce(disc, 0) AS disc, w, w * (0.5 - y) AS g FROM rows) SELECT * FROM (SELECT 'G' AS what, round(sum(g), 2) AS v FROM z UNION ALL SELECT 'H', round(sum(w), 2) FROM z UNION ALL SELECT 'gx0', round(sum(g * q), 2) FROM z UNION ALL SELECT 'gx1', round(sum(g * disc), 2) FROM z
+UNION ALL SELECT 'hx0', round(sum(w * q), 2) FROM z UNION ALL SELECT 'hx1', round(sum(w * disc), 2) FROM z UNION ALL SELECT 'hxx00', round(sum(w * q * q), 2) FROM z UNION ALL SELECT 'hxx01', round(sum(w * q * disc), 2) FROM z UNION ALL SELECT 'hxx11', round(sum(w * disc * disc), 2) FROM z)""")
 def linear_sums(spark: SparkSession, d: str) -> DataFrame:
     ds = Dataset.from_dataframe(rows(spark, d), ["q", "disc"], "y", "w")
     (s,) = gblinear.sums_of(ds, np.array([[0.0], [0.0], [0.5]]), O.squared(), True)
     flat = [("G", s["G"]), ("H", s["H"]), *((f"gx{i}", s["gx"][i]) for i in (0, 1)), *((f"hx{i}", s["hx"][i]) for i in (0, 1)), *((f"hxx{i}{j}", s["hxx"][i, j]) for i, j in ((0, 0), (0, 1), (1, 1)))]
-    return spark.createDataFrame([(k, round(float(v), 6)) for k, v in flat], "what string, v double")
+    return spark.createDataFrame([(k, round(float(v), 2)) for k, v in flat], "what string, v double")
 
 
 @query(f"""WITH {ROWS_SQL}, base AS (SELECT sum(w * y) / sum(w) AS b, sum(w) AS h FROM rows), s AS (SELECT b, sum(w * (b - y)) AS g, sum(w * (b - y) * q) AS gq, sum(w * q * q) AS hq, sum(w * q) AS hx, max(h) AS h FROM rows, base GROUP BY b)
@@ -532,18 +533,18 @@ def fake_results(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.concat_ws("/", "o_orderstatus", "o_orderpriority").alias("config"), F.col("o_orderpriority").alias("library"), F.col("o_orderkey").alias("seed"), F.lit("regression").alias("task"), F.lit("gbdt").alias("booster"), F.col("o_orderstatus").alias("dataset"), F.create_map(F.lit("rmse"), F.col("o_totalprice") / 1000).alias("metrics"))
 
 
-@query("SELECT o_orderstatus AS dataset, 'gbdt' AS booster, o_orderpriority AS library, 'rmse' AS metric, round(avg(o_totalprice / 1000), 6) AS mean, round(stddev_samp(o_totalprice / 1000), 6) AS std, count(*) AS n FROM orders GROUP BY 1, 3")
+@query("SELECT o_orderstatus AS dataset, 'gbdt' AS booster, o_orderpriority AS library, 'rmse' AS metric, round(avg(o_totalprice / 1000), 4) AS mean, round(stddev_samp(o_totalprice / 1000), 4) AS std, count(*) AS n FROM orders GROUP BY 1, 3")
 def result_summary(spark: SparkSession, d: str) -> DataFrame:
-    return r6_all(E.summary(fake_results(spark, d)), "mean", "std")
+    return r4_all(E.summary(fake_results(spark, d)), "mean", "std")
 
 
-@query("""WITH a AS (SELECT o_orderstatus || '/' || o_orderpriority AS config, o_orderpriority AS library, avg(o_totalprice / 1000) AS mean FROM orders GROUP BY 1, 2) SELECT config, library, 'rmse' AS metric, round(mean, 6) AS mean, 150.0 AS baseline, mean > 153 AS regressed FROM a""")
+@query("""WITH a AS (SELECT o_orderstatus || '/' || o_orderpriority AS config, o_orderpriority AS library, avg(o_totalprice / 1000) AS mean FROM orders GROUP BY 1, 2) SELECT config, library, 'rmse' AS metric, round(mean, 4) AS mean, 150.0 AS baseline, mean > 153 AS regressed FROM a""")
 def baseline_check(spark: SparkSession, d: str) -> DataFrame:
     res = fake_results(spark, d)
     body: dict = {"version": 1, "configs": {}}
     for c, lib in res.select("config", "library").distinct().collect():
         body["configs"].setdefault(c, {})[lib] = {"rmse": {"mean": 150.0, "std": None, "n": 1}}
-    return r6_all(E.check_baseline(res, body), "mean")
+    return r4_all(E.check_baseline(res, body), "mean")
 
 
 @query(f"""WITH {ROWS_SQL}, c AS (SELECT quantile_cont(y, 0.8) AS cut FROM rows) SELECT k, n, CASE WHEN y > cut THEN 5.0 ELSE 1.0 END AS weight FROM rows, c""")
