@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from thicket.llm.common import drop, slices, small_batches, split_words, stored, table, text_bytes
 
 SEED = 42
+#: rows of 16 bytes that are sent to all executors at most
+MOST_BROADCAST = 2_000_000
 
 
 def shingle_hashes(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -201,7 +203,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs without near copies: of each class the row with the smallest doc_id stays (null ids last, then by the row's hash).
 
-    Repeated rows count as copies. Columns stay as they are.
+    Repeated rows count as copies. Columns stay as they are. The texts are read once more against the rows that go, which
+    are broadcast if there are at most MOST_BROADCAST; beyond that they meet in a join that adaptive execution may split.
     """
     row = F.xxhash64(*[F.col(c) for c in docs.columns])
     keyed = docs.withColumn("_thicket_row", row)
@@ -209,10 +212,14 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     order = F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("i"), F.col("_thicket_row").alias("r"))
     by_fp = made.groupBy("fp").agg(F.min(order).alias("first")).join(classes, "fp", "left")
     best = by_fp.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    chosen = best.select(F.col("first.r").alias("_thicket_row"))
-    times = made.groupBy("_thicket_row").agg(F.count("*").alias("_n"))
-    chosen = stored(chosen.join(times, "_thicket_row"))
-    once = keyed.join(chosen, "_thicket_row")
-    again = once.where("_n > 1").dropDuplicates(["_thicket_row"]) if not chosen.where("_n > 1").isEmpty() else None
-    once = once.where("_n = 1")
-    return (once.unionByName(again) if again is not None else once).select(docs.columns)
+    chosen = best.select(F.col("first.r").alias("_thicket_row"), F.lit(True).alias("_thicket_first"))
+    times = made.groupBy("_thicket_row").agg(F.count("*").alias("_thicket_n"))
+    # the rows that do not simply stay: copies, and rows that are there more than once
+    few = times.join(chosen, "_thicket_row", "left").where("_thicket_first IS NULL OR _thicket_n > 1").select("_thicket_row", F.col("_thicket_first").isNull().alias("_thicket_goes"))
+    few = stored(few)
+    n, repeated = few.agg(F.count("*"), F.sum(F.when(F.col("_thicket_goes"), 0).otherwise(1))).first()
+    marked = keyed.join(F.broadcast(few) if n <= MOST_BROADCAST else few, "_thicket_row", "left")
+    out = marked.where("_thicket_goes IS NULL")
+    if repeated:
+        out = out.unionByName(marked.where("NOT _thicket_goes").dropDuplicates(["_thicket_row"]))
+    return out.select(docs.columns)
