@@ -17,6 +17,7 @@ from thicket.llm.common import WORD, stored, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_EPOCHS = 3.0
+MOST_BROADCAST = 100_000
 
 
 def n_words(text: str) -> Column:
@@ -76,11 +77,13 @@ def mix(docs: DataFrame, size: Column, source: str = "source", key: Sequence[str
     plan = [(*p, float(p[2] - p[3] * p[1])) for p in plan]
     plan_df = spark.createDataFrame(plan, "_s string, _source_size long, _target double, _epochs int, _rest double") if plan else spark.createDataFrame([], "_s string, _source_size long, _target double, _epochs int, _rest double")
 
+    # these tables have a row a source: broadcast up to a number of sources that is known here, joined like any other beyond it
+    small = F.broadcast if len(all_names) <= MOST_BROADCAST else lambda df: df
     # in which partition each source's rest ends, and what stands before that partition
     before = part_sums.withColumn("before", F.sum("n").over(Window.partitionBy("_s").orderBy("_p")) - F.col("n"))
-    at = before.join(plan_df.select("_s", "_rest"), before["_s"].eqNullSafe(plan_df["_s"])).where("before <= _rest AND _rest < before + n").select(before["_s"].alias("_as"), F.col("_p").alias("_ap"), "before", "_rest")
+    at = before.join(small(plan_df.select("_s", "_rest")), before["_s"].eqNullSafe(plan_df["_s"])).where("before <= _rest AND _rest < before + n").select(before["_s"].alias("_as"), F.col("_p").alias("_ap"), "before", "_rest")
     # only the rows of those partitions are summed one by one; keys that agree form one step
-    near = ranged.join(at, ranged["_s"].eqNullSafe(at["_as"]) & (ranged["_p"] == at["_ap"]))
+    near = ranged.join(small(at), ranged["_s"].eqNullSafe(at["_as"]) & (ranged["_p"] == at["_ap"]))
     steps = near.groupBy("_s", "before", "_rest", "_key").agg(F.sum("_size").alias("n"))
     upto = steps.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("_s").orderBy("_key")))
     # all keys up to _low come in: those whose sums fit, or what stands before a partition whose first does not
@@ -89,7 +92,7 @@ def mix(docs: DataFrame, size: Column, source: str = "source", key: Sequence[str
     lows = [(r["_s"], r["cut"] if r["cut"] is not None else max(r["first"] - 1, -(2**63)), float(r["_rest"] - (r["used"] if r["used"] is not None else r["before"]))) for r in ends]
     lows = spark.createDataFrame(lows, "_cs string, _low long, _left double")  # one row a source
     # and one key more of the next few, whose size fills best what is left
-    later = ranged.join(lows, ranged["_s"].eqNullSafe(lows["_cs"])).where("_key > _low")
+    later = ranged.join(small(lows), ranged["_s"].eqNullSafe(lows["_cs"])).where("_key > _low")
     later = later.withColumn("r", F.dense_rank().over(Window.partitionBy("_s").orderBy("_key"))).where(F.col("r") <= near_keys)
     later = later.groupBy("_s", "_left", "_key").agg(F.sum("_size").alias("n")).withColumn("miss", F.abs(F.col("n") - F.col("_left"))).where("miss < _left")
     extra = later.groupBy("_s").agg(F.min(F.struct("miss", "_key"))["_key"].alias("_extra")).collect()
@@ -98,7 +101,7 @@ def mix(docs: DataFrame, size: Column, source: str = "source", key: Sequence[str
     cuts = spark.createDataFrame(cuts, "_cs string, _low long, _extra long")
     whole = plan_df.join(cuts, plan_df["_s"].eqNullSafe(cuts["_cs"]), "left").drop("_cs").withColumnRenamed("_s", "_ps")
     more = F.coalesce(F.col("_key") <= F.col("_low"), F.lit(False)) | F.coalesce(F.col("_key") == F.col("_extra"), F.lit(False))
-    out = sized.join(whole, sized[source].eqNullSafe(whole["_ps"]), "left")
+    out = sized.join(small(whole), sized[source].eqNullSafe(whole["_ps"]), "left")
     return out.withColumn("_taken", F.col("_size") * (F.col("_epochs") + more.cast("int"))).select(*docs.columns, "_size", "_source_size", "_target", "_taken")
 
 
