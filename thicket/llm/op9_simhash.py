@@ -9,7 +9,7 @@ different fingerprints, so no group can grow with the data.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -200,15 +200,15 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return component_ids(made, classes).select("doc_id", hexed("fp").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs without near copies: of each class the row with the smallest doc_id stays (null ids last, then by the row's hash).
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", near: Callable[[DataFrame, list[str], str], tuple[DataFrame, DataFrame]] = near_classes) -> DataFrame:
+    """docs without near copies: of each class that `near` finds the row with the smallest doc_id stays (null ids last, then by the row's hash).
 
     Repeated rows count as copies. Columns stay as they are. The texts are read once more against the rows that go, which
     are broadcast if there are at most MOST_BROADCAST; beyond that they meet in a join that adaptive execution may split.
     """
     row = F.xxhash64(*[F.col(c) for c in docs.columns])
     keyed = docs.withColumn("_thicket_row", row)
-    made, classes = near_classes(keyed.select(doc_id, "_thicket_row", text), [doc_id, "_thicket_row"], text)
+    made, classes = near(keyed.select(doc_id, "_thicket_row", text), [doc_id, "_thicket_row"], text)
     order = F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("i"), F.col("_thicket_row").alias("r"))
     by_fp = made.groupBy("fp").agg(F.min(order).alias("first")).join(classes, "fp", "left")
     best = by_fp.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
