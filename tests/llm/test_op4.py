@@ -21,13 +21,16 @@ def tricky():
 
 def test_encoder_matches_tokenizers():
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     e = op.Encoder(JSON, most=50)
-    for x in tricky():
+    more = ["hi <|endoftext|> there", "<|endoftext|>", "a  <|endoftext|><|endoftext|>\n b", "<|endoftext", "  <|endoftext|>  "]
+    for x in [*tricky(), *more]:
         assert np.frombuffer(e(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
+    t.encode_special_tokens = True
+    for x in more:
+        assert np.frombuffer(e.plain(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
 
 
-def test_best_configuration_matches_brute_force():
+def test_knapsack_matches_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(30):
         cap = 12
@@ -35,24 +38,39 @@ def test_best_configuration_matches_brute_force():
         best = np.zeros(cap + 1)
         for c in range(1, cap + 1):
             best[c] = max([best[c - 1]] + [price[k] + best[c - k] for k in range(1, c + 1)])
-        got = op.best_configuration(price, cap)
-        assert got.sum() <= cap and abs(price[got].sum() - best[cap]) < 1e-12
+        value, choice = op.knapsack(price, cap)
+        got = op.configuration(choice, cap)
+        assert np.allclose(value, best) and sum(k * t for k, t in got.items()) <= cap and abs(sum(price[k] * t for k, t in got.items()) - best[cap]) < 1e-12
 
 
-def test_every_piece_is_planned_and_few_sequences_are_used():
-    rng = np.random.default_rng(3)
-    lengths = np.minimum(rng.lognormal(6, 1, 20_000).astype(int) + 1, 2048)
-    counts = np.bincount(lengths, minlength=2049)
-    plan = op.pack_lengths(counts)
-    used = np.zeros(2049, int)
-    for config, times in plan:
-        assert config.sum() <= 2048
+def checked(counts, capacity=2048):
+    plan = op.pack_lengths(counts, capacity)
+    used = np.zeros(capacity + 1, int)
+    for config, times in plan.sequences:
+        assert config.sum() <= capacity and times > 0
         np.add.at(used, config, times)
     assert (used == counts).all()
-    n = sum(t for _, t in plan)
-    low = -(-lengths.sum() // 2048)
-    assert low <= n <= 1.005 * low + 2
-    assert op.pack_lengths(np.zeros(2049, int)) == []
+    assert plan.bound <= plan.total + 1e-6
+    return plan
+
+
+def test_the_program_places_nearly_all_sequences():
+    rng = np.random.default_rng(3)
+    for n, share in ((1_000, 0.75), (20_000, 0.9), (2_000_000, 0.99)):
+        lengths = np.minimum(rng.lognormal(6, 1, n).astype(int) + 1, 2048)
+        plan = checked(np.bincount(lengths, minlength=2049))
+        assert plan.gap <= 0.01 and plan.total <= 1.005 * plan.bound + 2
+        assert plan.by_program >= share * plan.total
+    assert op.pack_lengths(np.zeros(2049, int)).sequences == []
+
+
+def test_prices_prove_bounds_beyond_the_volume():
+    # two of these never share a sequence, so the volume bound of 60 is far off
+    plan = checked(np.bincount([6] * 60 + [7] * 40, minlength=11), 10)
+    assert plan.total == 100 and plan.bound > 95
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        checked(rng.integers(0, 9, 13) * np.r_[0, np.ones(12, int)], 12)
 
 
 def test_packing_is_whole(spark):

@@ -32,7 +32,7 @@ def written(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "
     kind = docs.schema[doc_id].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, file = encoder(tokenizer), TaskContext.get().partitionId()
+        encode, file = encoder(tokenizer).plain, TaskContext.get().partitionId()
         last = np.array([end], "<u4").tobytes()
         held, size, ids, block = [], 0, [], 0
 
