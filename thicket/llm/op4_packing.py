@@ -202,8 +202,10 @@ def covered(counts: np.ndarray, capacity: int, step: float, eta: float = 10.0, n
         worth = price[some] + value[capacity - some]
         order = np.argsort(-worth, kind="stable")[:most]
         top = part.min() + step
-        for k in some[order[worth[order] >= worth.max() * (1 - near)]].tolist():
-            if left[k] <= 0 or 1 - left[k] / total[k] > top:
+        chosen = some[order[worth[order] >= worth.max() * (1 - near)]].tolist()
+        behind = [k for k in chosen if 1 - left[k] / total[k] <= top]
+        for k in behind or chosen[:1]:
+            if left[k] <= 0:
                 continue
             config = configuration(choice, capacity - k, k)
             fits = min(left[q] / t for q, t in config.items())
