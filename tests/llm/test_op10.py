@@ -27,21 +27,58 @@ def test_automaton_finds_longest_matches():
         assert n == longest("".join(map(str, q)), 0, text)
 
 
-def test_phrases_match_brute_force():
-    model = op.Model({"aa": "the quick brown fox jumps over the lazy dog " * 3, "bb": "el zorro salta sobre el perro perezoso " * 3})
-    texts = ["the brown dog", "EL PERRO!!! salta", "zzz qqq", "", "fox " * 200, "ç1-2ß"]
+SCRIPTS = {"el": ("αβγδεζηθικλμνξοπρστυφχψω", 1), "en": ("abcdefghijklmnopqrstuvwxyz", 2), "ja": ("".join(map(chr, range(0x3041, 0x3097))) + "".join(map(chr, range(0x5000, 0x5300))), 3), "ko": ("".join(map(chr, range(0xAC00, 0xAE00))), 4), "zh": ("".join(map(chr, range(0x5100, 0x5600))), 5)}
+
+
+def babble(lang, n, seed):
+    """Words from a small vocabulary of the script's letters."""
+    letters, own = SCRIPTS[lang]
+    rng = random.Random(own)
+    vocabulary = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(300)]
+    rng = random.Random(seed)
+    return " ".join(rng.choice(vocabulary) for _ in range(n))
+
+
+@pytest.mark.parametrize("samples", [
+    {"aa": "the quick brown fox jumps over the lazy dog " * 3, "bb": "el zorro salta sobre el perro perezoso " * 3},
+    {k: babble(k, 700, 0) for k in SCRIPTS},
+])
+def test_phrases_are_those_of_whole_texts(samples):
+    model = op.Model(samples)
+    rng = random.Random(3)
+    texts = ["the brown dog", "EL PERRO!!! salta", "zzz qqq", "", "fox " * 400, "ç1-2ß", "a" * 1000, " ".join(rng.choice(["over", "the", "sobre", "perro", "lazy dog"]) for _ in range(300))]
+    texts += [babble(k, 120, 1) for k in SCRIPTS] + [next(iter(samples.values())) * 4]
     got, n = model.phrases(texts)
     for row, k in zip(got, model.languages, strict=True):
-        sample = "".join(chr(c + 1) for c in model.symbols({"aa": "the quick brown fox jumps over the lazy dog " * 3, "bb": "el zorro salta sobre el perro perezoso " * 3}[k]))
+        sample = "".join(chr(c + 1) for c in model.symbols(samples[k]))
         for j, t in enumerate(texts):
             s = "".join(chr(c + 1) for c in model.symbols(t))
-            want = 0
-            for a in range(0, len(s), op.LANE):
-                lane, at = s[a : a + op.LANE], 0
-                while at < len(lane):
-                    at += max(1, longest(lane, at, sample))
-                    want += 1
-            assert row[j] == want, (k, t)
+            want, at = 0, 0
+            while at < len(s):
+                at += max(1, longest(s, at, sample))
+                want += 1
+            assert (row[j], n[j]) == (want, len(s)), (k, t)
+
+
+def test_no_letter_of_a_sample_is_taken_for_another():
+    samples = {k: babble(k, 3000, 0) for k in SCRIPTS}
+    model = op.Model(samples)
+    letters = sorted({c for t in samples.values() for c in t if c.isalpha()})
+    assert len(letters) > 1000 and len({tuple(model.symbols(c).tolist()) for c in letters}) == len(letters)
+    for k in SCRIPTS:
+        found, _ = model.predict([babble(k, 20, s) for s in range(50)])
+        assert found == [k] * 50
+
+
+def test_letters_and_ties():
+    names, scores = op.Model({"bb": "abc abd", "aa": "abc abd"}).predict(["abc", "½", "² Ⅷ", "١٢", "_", "é", "ª"])
+    assert names == ["aa", "und", "und", "und", "und", "aa", "aa"] and scores.tolist() == [0.0] * 7
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "the thing", "x", "y", 5)], "doc_id long, text string, lang_pred string, _text string, SCORE int")
+    got = op.identify(df, (("en", "the thing"),), df.columns)
+    assert got.columns == ["doc_id", "text", "_text", "lang_pred", "score"] and got.first()[:4] == (1, "the thing", "y", "en")
 
 
 def test_held_out_accuracy_and_edges(spark):

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +21,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spare(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as keep it apart from those taken (in any case) and from each other."""
+    seen, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in seen:
+            name += "_"
+        seen.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(columns: Sequence[str], results: Iterable[str]) -> list[str]:
+    """The columns whose names no result has, in any case: a result replaces the column of its name."""
+    own = {r.lower() for r in results}
+    return [c for c in columns if c.lower() not in own]
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
+    """The folder that driver and executors share. A local one serves a local session that names none; a cluster must name one."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("/tmp/checkpoints/thicket")
         found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
+    own = f"{found.rstrip('/')}/thicket-{spark.sparkContext.applicationId}"
+    if own not in _used:
+        _used.add(own)
+        atexit.register(_remove, own)
+    return own
+
+
+_used: set[str] = set()
+
+
+def _remove(path: str) -> None:
+    """At the driver's end nothing reads the tables in between any more."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        with contextlib.suppress(Exception):
+            drop(spark, path)
 
 
 def stored(df: DataFrame, keep: list | None = None) -> DataFrame:
@@ -34,7 +70,7 @@ def stored(df: DataFrame, keep: list | None = None) -> DataFrame:
     keep collects the paths, so that a loop can drop() what it no longer reads.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/thicket-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     if keep is not None:
         keep.append(path)

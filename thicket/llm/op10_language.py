@@ -14,14 +14,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from thicket.llm.common import crc_fold, slices, small_batches, table
+from thicket.llm.common import crc_fold, slices, small_batches, spare, table, without
 
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+PLAIN = re.compile("[A-Za-z]")
 LANE = 128
 _built: dict = {}
 
 
+def has_letter(text: str) -> bool:
+    """A character of Unicode's letter categories; numerals of letter-like shape are none."""
+    return PLAIN.search(text) is not None or any(map(str.isalpha, text))
+
+
 class Automaton:
     """Suffix automaton over symbols 0 .. width-1 as a dense table; -1: no such substring."""
 
@@ -57,25 +62,41 @@ class Automaton:
 class Model:
     """Automata of the sample texts of each language.
 
-    Symbols: the letters of the samples, lower-cased, most frequent first up to `width` - 3; other letters share one
-    symbol, and each run of other characters is one separator.
+    Symbols: one for each run of other characters than letters (a separator), one for letters that no sample shows, a pad,
+    and the letters of the samples, lower-cased. If the samples have more letters than a table of `width` symbols has room
+    for, the most frequent keep a symbol each, and every other becomes a code of `size` digits, which are symbols of their
+    own: a prefix-free code, so that no letter is taken for another and tables stay `width` wide for any script.
     """
 
+    DIGITS = 16
+
     def __init__(self, samples: dict[str, str], width: int = 64):
         self.languages = sorted(samples)
         counts: dict[str, int] = {}
         for text in samples.values():
             for c in text.lower():
-                if LETTER.match(c):
+                if c.isalpha():
                     counts[c] = counts.get(c, 0) + 1
-        letters = sorted(counts, key=lambda c: (-counts[c], c))[: width - 3]
+        letters = sorted(counts, key=lambda c: (-counts[c], c))
         self.separator, self.other, self.pad = 0, 1, width - 1
-        self.codes = np.zeros(0x110000, np.uint8)
+        single = len(letters) if len(letters) <= width - 3 else width - 3 - self.DIGITS
+        rest = letters[single:]
+        self.size = 1
+        while self.DIGITS**self.size < len(rest):
+            self.size += 1
+        #: a character's symbol; from `width` on, the number of a letter that has a code
+        self.codes = np.zeros(0x110000, np.int32)
         for c in range(0x110000):
             if chr(c).isalpha():
                 self.codes[c] = self.other
-        for i, c in enumerate(letters):
+        for i, c in enumerate(letters[:single]):
             self.codes[ord(c)] = i + 2
+        self.width = width
+        for i, c in enumerate(rest):
+            self.codes[ord(c)] = width + i
+        first = width - 1 - self.DIGITS
+        places = self.DIGITS ** np.arange(self.size)[::-1]
+        self.spelled = (np.arange(max(len(rest), 1))[:, None] // places % self.DIGITS + first).astype(np.uint8)
         self.tables = []
         for k in self.languages:
             t = Automaton(self.symbols(samples[k]).tolist(), width).table
@@ -91,12 +112,26 @@ class Model:
     def symbols(self, text: str) -> np.ndarray:
         """The text's symbols without repeated separators."""
         s = self.codes[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)]
-        return s[np.concatenate([[True], (s[1:] != self.separator) | (s[:-1] != self.separator)])] if len(s) else s
+        s = s[np.concatenate([[True], (s[1:] != self.separator) | (s[:-1] != self.separator)])] if len(s) else s
+        coded = s >= self.width
+        if not coded.any():
+            return s.astype(np.uint8)
+        times = np.where(coded, self.size, 1)
+        out = np.repeat(s, times).astype(np.uint8)
+        at = (np.cumsum(times) - times)[coded]
+        for j in range(self.size):
+            out[at + j] = self.spelled[s[coded] - self.width, j]
+        return out
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(phrases [language, text], symbols by text). Texts are parsed in lanes of LANE symbols, all lanes in step; a phrase ends with its lane."""
+        """(phrases [language, text], symbols by text), each text parsed as one sequence.
+
+        Texts are cut in lanes of LANE symbols and all lanes are parsed in step, as if each began a phrase. Then each lane
+        whose text began before it is parsed again from the state in which the lane before it ends, up to the symbol where
+        both parses are in one state, from which on they agree; if that changes the lane's own end, the next lane follows.
+        """
         parts = [self.symbols(t) for t in texts]
-        n = np.array([len(p) for p in parts])
+        n = np.array([len(p) for p in parts], np.int64)
         lanes = -(-n // LANE)
         flat = np.full(lanes.sum() * LANE, self.pad, np.uint8)
         at = np.concatenate([[0], np.cumsum(lanes)]) * LANE
@@ -104,13 +139,33 @@ class Model:
             flat[k : k + len(p)] = p
         by_step = np.ascontiguousarray(flat.reshape(-1, LANE).T).astype(np.int32)
         owner = np.repeat(np.arange(len(texts)), lanes)
+        follows = np.concatenate([[False], owner[1:] == owner[:-1]]) if len(owner) else np.zeros(0, bool)
         made = np.zeros((len(self.tables), len(texts)), np.int64)
+        got = np.empty(by_step.shape, np.int32)
         for i, t in enumerate(self.tables):
             state, count = np.zeros(by_step.shape[1], np.int32), np.zeros(by_step.shape[1], np.int32)
-            for symbol in by_step:
-                got = t[state + symbol]
-                state = got >> 1
-                count += got & 1
+            for symbol, row in zip(by_step, got, strict=True):
+                t.take(state + symbol, out=row)
+                state = row >> 1
+                count += row & 1
+            entry = np.zeros(len(owner), np.int32)
+            todo = np.flatnonzero(follows)
+            while len(todo):
+                ends = got[-1, todo - 1] >> 1
+                moved = entry[todo] != ends
+                now, state = todo[moved], ends[moved]
+                entry[now] = state
+                for symbol, row in zip(by_step, got, strict=True):
+                    if not len(now):
+                        break
+                    new, old = t[state + symbol[now]], row[now]
+                    row[now] = new
+                    count[now] += (new & 1) - (old & 1)
+                    apart = new >> 1 != old >> 1
+                    now, state = now[apart], new[apart] >> 1
+                # what still differs at its end changes where the next lane of its text begins
+                todo = now[now < len(owner) - 1] + 1
+                todo = todo[follows[todo]]
             made[i] = np.bincount(owner, count, len(texts)).astype(np.int64) if len(owner) else 0
         return made, n
 
@@ -119,7 +174,7 @@ class Model:
 
         The score is the share of phrases that the winner saves against the second best, at most 1, and 1 if there is only one language.
         """
-        known = [t if t is not None and LETTER.search(t) and self.languages else "" for t in texts]
+        known = [t if t is not None and self.languages and has_letter(t) else "" for t in texts]
         counts, n = self.phrases(known)
         named = np.array([bool(t) for t in known])
         if not self.languages:
@@ -156,12 +211,14 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
 
 
 def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], keep: list[str], text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """The columns `keep` of docs with the language and score under `names`, which must not be in `keep`; only the text decides.
+    """The columns `keep` of docs with the language and score under `names`, which replace columns of those names; only the text decides.
 
-    Whole texts are parsed; repeated rows stay; ties go to the first language by code point.
+    Whole texts are parsed; repeated rows stay; ties go to the first language by code point. A null or empty text, or one
+    without a letter, is `und` with score 0, and so is every text if nothing was learned. No rows: no rows.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(samples)  # at most `chars` characters a language
-    column = text if text in keep else "_text"
+    keep = without(keep, names)
+    column = text if text in keep else spare([*keep, *names], "_text")[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(shipped.value)
@@ -175,6 +232,7 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], keep: list[s
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) of every document, learned from those not held out; see learn and identify for odd rows."""
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     fold = crc_fold("doc_id", 5)
