@@ -49,7 +49,7 @@ def test_scores_match_brute_force(spark, frequent):
     rows = list(enumerate(corpus())) + [(None, "the null")]
     df = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, h string").repartition(4)
     train = [t for i, t in rows if i is not None and i % 4]
-    model = op.fit(df.where("doc_id % 4 <> 0"), heads=8, endings=16, classes=6, frequent=frequent)
+    model = op.fit(df.where("doc_id % 4 <> 0"), seeds=8, endings=16, classes=6, frequent=frequent)
     got = Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in op.score(df, model, ["doc_id"]).collect())
     c = Counter(w for t in train for w in tokens(t))
     total, distinct = sum(c.values()), len(c)
@@ -88,6 +88,46 @@ def test_scores_match_brute_force(spark, frequent):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_every_frequent_word_has_the_best_class_of_its_own_contexts(spark):
+    rows = [(i, t) for i, t in enumerate(corpus())]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    classes, least = 6, 2
+    model = op.fit(df, seeds=4, endings=8, classes=classes, least=least, rounds=0)
+    c = Counter(w for _, t in rows for w in tokens(t) if w is not None)
+    hashes = {w: int(op.hash_words(op.pa.array([w]))[1][0]) for w in c}
+    # the clustered vocabulary is that of the corpus, not of a fixed size
+    assert set(model.units.heads.tolist()) == {hashes[w] for w in c if c[w] >= least} and len(model.units.heads) > 400
+    counted = op.count_pairs(df, "text", model.units, model.label.astype(int), classes, contexts=True)
+    pair = op.pair_matrix(counted, classes)
+    got = {r.word: r.label for r in op.moved(counted, pair, classes).collect()}
+    label = {w: model.label[model.units.of(*op.hash_words(op.pa.array([w]))[1:])[0]] for w in c} | {None: model.label[-1]}
+    left, right, want = {w: Counter() for w in c}, {w: Counter() for w in c}, np.zeros((classes, classes))
+    for _, t in rows:
+        before = None
+        for w in tokens(t):
+            want[label[before], label[w]] += 1
+            if w is not None:
+                left[w][label[before]] += 1
+            if before is not None:
+                right[before][label[w]] += 1
+            before = w
+    assert (pair == want).all()
+    place = {h: i for i, h in enumerate(model.units.heads.tolist())}
+    for w in c:
+        if c[w] >= least:
+            gain = [sum(n * math.log(pair[a, k] + 0.5) for a, n in left[w].items()) + sum(n * math.log(pair[k, b] + 0.5) for b, n in right[w].items()) - c[w] * (math.log(pair[k].sum() + 0.5) + math.log(pair[:, k].sum() + 0.5)) for k in range(classes - 1)]
+            assert gain[got[place[hashes[w]]]] >= max(gain) - 1e-6
+    # moving by contexts pays on the training text
+    total = lambda m: sum(r.score for r in op.score(df, m, ["doc_id"]).collect())
+    assert total(op.fit(df, seeds=4, endings=8, classes=classes, least=least, rounds=2)) > total(model)
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b", 5, "x", 7)], "doc_id long, text string, _h int, score string, _row int")
+    got = op.score(df, op.fit(df), df.columns)
+    assert got.columns == ["doc_id", "text", "_h", "_row", "n_tokens", "n_known", "base_score", "score"] and got.first()[:4] == (1, "a b", 5, 7)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert op.score(df, op.fit(df), ["doc_id"]).collect() == []

@@ -1,10 +1,12 @@
 """LM scoring by Brown's class-based bigrams.
 
-A word has a class; P(word | word before) = P(class | class before) * P(word | class). Exchange clustering moves units from
-class to class while the likelihood of the training text's class bigrams rises. A unit is a frequent word, or all rarer
-words with one ending: so every word has a class, also one never seen, the clustering's size does not depend on the corpus,
-and what it is fitted to (all unit bigrams of all training text) does. Word counts stay a distributed table, keyed by a
-64-bit hash of the word; only its frequent part, of bounded size, is broadcast, and rarer words meet it in a join.
+A word has a class; P(word | word before) = P(class | class before) * P(word | class). Exchange clustering moves words from
+class to class while the likelihood of the training text's class bigrams rises, in two stages: on the driver the units of a
+table of fixed size (the most frequent words, and all others by their ending), one move at a time; then in distributed
+rounds every word that stands `least` times or more, all at once, each by the classes of its own neighbours in all training
+text. So the clustered vocabulary grows with the corpus; only words rarer than that, and words never seen, have the class of
+their ending. Word counts stay a distributed table, keyed by a 64-bit hash of the word; its frequent part, of bounded size,
+is broadcast with the classes, and rarer words meet the table in a join.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm.common import crc_fold, slices, small_batches, split_words, stored, sum_by, table
+from thicket.llm.common import crc_fold, slices, small_batches, spare, split_words, stored, sum_by, table, without
 
 #: the hash that stands for the end of a text; no word can hold a space
 END_HASH = int(np.uint64(xxhash.xxh64_intdigest(b" end ")).astype(np.int64))
@@ -43,7 +45,7 @@ def ending(known: list[bytes], endings: int) -> np.ndarray:
 
 @dataclass
 class Units:
-    """The units: `heads` sorted hashes of frequent words, then `endings` groups of the other words by their last three bytes, then the end."""
+    """The units: `heads` sorted hashes of the words that are one, then `endings` groups of the other words by their last three bytes, then the end."""
 
     heads: np.ndarray
     endings: int
@@ -85,22 +87,88 @@ def count_words(train: DataFrame, text: str, endings: int) -> DataFrame:
     return made.groupBy("h").agg(F.sum("c").alias("c"), F.max("e").alias("e"))
 
 
-def count_bigrams(train: DataFrame, text: str, units: Units) -> DataFrame:
-    """(a, b, n): how often unit b follows unit a in all texts. One addition a task for each different pair."""
+def count_pairs(train: DataFrame, text: str, units: Units, label: np.ndarray, classes: int, contexts: bool = False) -> DataFrame:
+    """(key, n). key >= 0: label key div classes is followed by label key mod classes n times in all texts.
+
+    With contexts also key < 0, for the words units.heads: -1 - key = (2 * classes) * word + label of the word before, or that
+    of the word after plus `classes`. A task adds up what it sees, in arrays of bounded size.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(units.n * units.n, np.int64)
+        n = np.zeros(classes * classes, np.int64)
+        keys, times = np.empty(0, np.int64), np.empty(0, np.int64)
+
+        def sent(keys: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(keys), 65536):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 65536]), pa.array(times[k : k + 65536])], ["key", "n"])
+
         for batch in slices(batches, "_text"):
             offsets, words = split_words(batch.column("_text"), lower=True)
             ids, hashes, known = hash_words(words)
-            before, now = sequence(units.of(hashes, known)[ids], offsets, units.n - 1)
-            n += np.bincount(before * units.n + now, minlength=len(n))
+            unit = units.of(hashes, known)
+            before, now = sequence(label[unit][ids], offsets, label[-1])
+            n += np.bincount(before * classes + now, minlength=len(n))
+            if contexts and len(ids):
+                place = np.arange(len(ids)) + np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+                both = np.concatenate([ids * (2 * classes) + before[place], ids * (2 * classes) + classes + now[place + 1]])
+                seen = np.bincount(both, minlength=len(hashes) * 2 * classes).reshape(-1, 2 * classes)
+                mine = np.flatnonzero(unit < len(units.heads))
+                word, code = np.nonzero(seen[mine])
+                keys = np.concatenate([keys, unit[mine][word] * (2 * classes) + code])
+                times = np.concatenate([times, seen[mine][word, code]])
+                if len(keys) > 4_000_000:
+                    keys, at = np.unique(keys, return_inverse=True)
+                    times = np.bincount(at, times, len(keys)).astype(np.int64)
+                    if len(keys) > 2_000_000:
+                        yield from sent(-1 - keys, times)
+                        keys, times = keys[:0], times[:0]
+        if len(keys):
+            keys, at = np.unique(keys, return_inverse=True)
+            yield from sent(-1 - keys, np.bincount(at, times, len(keys)).astype(np.int64))
         seen = np.flatnonzero(n)
-        for k in range(0, len(seen), 65536):
-            p = seen[k : k + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array((p // units.n).astype(np.int32)), pa.array((p % units.n).astype(np.int32)), pa.array(n[p])], ["a", "b", "n"])
+        yield from sent(seen, n[seen])
+
+    return train.select(F.col(text).alias("_text")).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def pair_matrix(counted: DataFrame, classes: int) -> np.ndarray:
+    """[classes, classes] of the pairs of count_pairs: at most classes ** 2 rows go to the driver."""
+    got = counted.where("key >= 0").toPandas()
+    n = np.zeros(classes * classes)
+    n[got["key"].to_numpy(np.int64)] = got["n"]
+    return n.reshape(classes, classes)
+
+
+def moved(counted: DataFrame, pair: np.ndarray, classes: int) -> DataFrame:
+    """(word, label): the best class of each word by its contexts in count_pairs.
+
+    Adding a word to class k raises the likelihood, to first order, by the logs of k's pairs with the classes of its neighbours, less
+    those of k's totals: a word is small against its class. Ties go to the lowest class; the end's class is its own.
+    """
+    logs, size = np.log(pair + ALPHA), np.log(pair.sum(axis=1) + ALPHA) + np.log(pair.sum(axis=0) + ALPHA)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty((0, 3), np.int64)
 
-    return train.select(F.col(text).alias("_text")).mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+        def best(rows: np.ndarray) -> pa.RecordBatch:
+            word, at = np.unique(rows[:, 0], return_inverse=True)
+            seen = np.bincount(at * (2 * classes) + rows[:, 1], rows[:, 2], len(word) * 2 * classes).reshape(-1, 2, classes)
+            gain = seen[:, 0] @ logs + seen[:, 1] @ logs.T - seen[:, 0].sum(axis=1)[:, None] * size
+            return pa.RecordBatch.from_arrays([pa.array(word), pa.array(gain[:, : classes - 1].argmax(axis=1).astype(np.int16))], ["word", "label"])
+
+        for batch in batches:
+            held = np.concatenate([held, np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1)])
+            # the last word may go on in the next batch
+            whole = held[:, 0] < held[-1, 0] if len(held) else np.zeros(0, bool)
+            if whole.any():
+                yield best(held[whole])
+                held = held[~whole]
+        if len(held):
+            yield best(held)
+
+    code = -1 - F.col("key")
+    asked = counted.where("key < 0").select(F.floor(code / (2 * classes)).cast("long").alias("word"), (code % (2 * classes)).alias("code"), "n")
+    return asked.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word long, label short")
 
 
 def xlogx(x: np.ndarray) -> np.ndarray:
@@ -182,39 +250,59 @@ class Brown:
     counts: np.ndarray
 
 
-def fit(train: DataFrame, text: str = "text", heads: int = 500, endings: int = 256, classes: int = 32, frequent: int = 150_000) -> Brown:
-    """A model of all train texts (null: empty, of one end). heads, endings and classes set the clustering's size; at most about `frequent` words are broadcast."""
+def fit(train: DataFrame, text: str = "text", seeds: int = 500, endings: int = 256, classes: int = 32, least: int = 3, rounds: int = 2, frequent: int = 1_000_000) -> Brown:
+    """A model of all train texts (null: empty, of one end).
+
+    seeds and endings set the size of the driver's clustering. Then every word that stands `least` times or more moves to its
+    best class, `rounds` times. At most about `frequent` words are broadcast (17 bytes each), those of the greatest counts:
+    where a corpus has more words than that, the count that a word needs to have a class of its own rises above `least`.
+    """
     words = stored(count_words(train, text, endings))
     by_count = words.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c"))
     total, distinct = words.agg(F.sum("c"), F.count("*")).first()
     total, distinct = total or 0, distinct or 0
-    held, least = 0, None
+    held, lowest = 0, None
     for c, n in by_count.limit(frequent + 1).collect():
         if held + n > frequent:
             break
-        held, least = held + n, c
-    rows = words.where(F.col("c") >= least).toPandas() if least is not None else None
-    hs, cs = (rows["h"].to_numpy(np.int64), rows["c"].to_numpy(np.int64)) if rows is not None else (np.empty(0, np.int64), np.empty(0, np.int64))
+        held, lowest = held + n, c
+    rows = words.where(F.col("c") >= lowest).toArrow() if lowest is not None else None
+    hs, cs, es = (rows[k].combine_chunks().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for k in "hce") if rows is not None else (np.empty(0, np.int64) for _ in "hce")
     order = np.argsort(hs)
-    hs, cs = hs[order], cs[order]
-    top = np.lexsort((hs, -cs))
-    units = Units(np.sort(hs[top][hs[top] != END_HASH][:heads]), endings)
+    hs, cs, es = hs[order], cs[order], es[order]
 
-    n = np.zeros((units.n, units.n))
-    got = count_bigrams(train, text, units).toPandas()  # at most units ** 2 rows
-    n[got["a"], got["b"]] = got["n"]
+    top = np.lexsort((hs, -cs))
+    first = np.sort(top[hs[top] != END_HASH][:seeds])  # places in hs, in its order
+    units = Units(hs[first], endings)
+    n = pair_matrix(count_pairs(train, text, units, np.arange(units.n), units.n), units.n)
     label = exchange(n, classes)
-    hot = np.eye(classes)[label]
-    pair = hot.T @ n @ hot
+
+    own = np.flatnonzero(((cs >= least) | np.isin(hs, units.heads)) & (hs != END_HASH))
+    whole = Units(hs[own], endings)
+    fixed = np.isin(whole.heads, units.heads)
+    start = label[len(units.heads) + es[own]]
+    start[fixed] = label[: len(units.heads)]
+    label = np.concatenate([start, label[len(units.heads) :]])
+    for _ in range(rounds):
+        counted = stored(count_pairs(train, text, whole, label, classes, contexts=True))
+        got = moved(counted, pair_matrix(counted, classes), classes).toArrow()  # at most `frequent` rows
+        new = label.copy()
+        new[got["word"].to_numpy()] = got["label"].to_numpy()
+        new[: len(fixed)][fixed] = label[: len(fixed)][fixed]
+        if (new == label).all():
+            break
+        label = new
+    pair = pair_matrix(count_pairs(train, text, whole, label, classes), classes)
     row, column = pair.sum(axis=1), pair.sum(axis=0)
     share = (column + ALPHA) / (column.sum() + ALPHA * classes)
     step = (pair + classes * share) / (row + classes)[:, None]
     # P(word | class) = (c + ALPHA) / (N + ALPHA * (words of the class + 1)); the end, alone in its class, is certain
-    kinds = np.bincount(label[: len(units.heads)], minlength=classes)
-    for e, k in words.where(F.col("e").isNotNull() & ~F.col("h").isin(units.heads.tolist())).groupBy("e").count().collect():
-        kinds[label[len(units.heads) + e]] += k
+    kinds = np.bincount(label[: len(own)], minlength=classes)
+    mine = np.bincount(es[own], minlength=endings)
+    for e, k in words.where(F.col("e").isNotNull()).groupBy("e").count().collect():
+        kinds[label[len(own) + e]] += k - mine[e]
     room = column + ALPHA * (kinds + 1)
-    return Brown(words, total, distinct, units, label, np.log10(step), np.log10(np.maximum(room, ALPHA)), hs, cs)
+    return Brown(words, total, distinct, whole, label.astype(np.int16), np.log10(step), np.log10(np.maximum(room, ALPHA)), hs, cs)
 
 
 def score(docs: DataFrame, model: Brown, keep: list[str], text: str = "text") -> DataFrame:
@@ -222,9 +310,12 @@ def score(docs: DataFrame, model: Brown, keep: list[str], text: str = "text") ->
 
     Every row of docs has its own result, repeated rows and null ids too; a null text is empty. Frequent words are looked
     up in the broadcast arrays; of the others each text sends a hash and a number to a join with the word table, and gets a
-    sum back. Names in `keep` must differ from the results'.
+    sum back. Columns with the name of a result are replaced. No rows: no rows.
     """
     spark = docs.sparkSession
+    keep = without(keep, ("n_tokens", "n_known", "base_score", "score"))
+    inner = spare([*docs.columns, "n_tokens", "n_known", "base_score", "score"], "_row", "_known", "_logs", "_path", "_ends", "_h", "_n", "_text", "_more", "_found")
+    row_, known_, logs_, path_, ends_, h_, n_, text_, more_, found_ = inner
     shipped = spark.sparkContext.broadcast((model.units, model.label, model.log_step, model.log_room, model.frequent, model.counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,8 +323,8 @@ def score(docs: DataFrame, model: Brown, keep: list[str], text: str = "text") ->
         row, pid = 0, TaskContext.get().partitionId()
         at_end = np.searchsorted(frequent, END_HASH)
         ends = int(counts[at_end]) if at_end < len(frequent) and frequent[at_end] == END_HASH else None
-        for batch in slices(batches, "_text"):
-            offsets, words = split_words(batch.column("_text"), lower=True)
+        for batch in slices(batches, text_):
+            offsets, words = split_words(batch.column(text_), lower=True)
             ids, hashes, known = hash_words(words)
             m = np.diff(offsets)
             before, now = sequence(label[units.of(hashes, known)][ids], offsets, label[-1])
@@ -255,28 +346,29 @@ def score(docs: DataFrame, model: Brown, keep: list[str], text: str = "text") ->
                     *(batch.column(k) for k in keep), pa.array((pid << 40) + row + np.arange(len(m))), pa.array((m + 1).astype(np.int64)), pa.array(known_here), pa.array(logs), pa.array(path), pa.array([ends] * len(m), pa.int64()),
                     pa.ListArray.from_arrays(pa.array(bounds), pa.array(hashes[key % max(len(hashes), 1)] if len(hashes) else np.empty(0, np.int64))), pa.ListArray.from_arrays(pa.array(bounds), pa.array(times.astype(np.int32))),
                 ],
-                [*keep, "_row", "n_tokens", "_known", "_logs", "_path", "_ends", "_h", "_n"],
+                [*keep, row_, "n_tokens", known_, logs_, path_, ends_, h_, n_],
             )
             row += len(m)
 
     kinds = [f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep]
-    schema = ", ".join([*kinds, "_row long, n_tokens long, _known long, _logs double, _path double, _ends long, _h array<long>, _n array<int>"])
-    made = stored(docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema))
-    asked = made.select("_row", F.explode(F.arrays_zip("_h", "_n")).alias("w")).select("_row", F.col("w._h").alias("h"), F.col("w._n").alias("n"))
+    schema = ", ".join([*kinds, f"{row_} long, n_tokens long, {known_} long, {logs_} double, {path_} double, {ends_} long, {h_} array<long>, {n_} array<int>"])
+    made = stored(docs.select(*keep, F.col(text).alias(text_)).mapInArrow(run, schema))
+    asked = made.select(row_, F.explode(F.arrays_zip(F.col(h_).alias("h"), F.col(n_).alias("n"))).alias("w")).select(row_, F.col("w.h").alias("h"), F.col("w.n").alias("n"))
     c = F.coalesce("c", F.lit(0))
-    rare = asked.join(model.words.select("h", "c"), "h", "left").groupBy("_row").agg(F.sum(F.col("n") * F.log10(c + ALPHA)).alias("_more"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("_found"))
-    whole = made.drop("_h", "_n").join(rare, "_row", "left")
+    rare = asked.join(model.words.select("h", "c"), "h", "left").groupBy(row_).agg(F.sum(F.col("n") * F.log10(c + ALPHA)).alias(more_), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias(found_))
+    whole = made.drop(h_, n_).join(rare, row_, "left")
     # the end's count is one for each training text, broadcast or not
-    ends = F.coalesce("_ends", F.lit(model.words.where(F.col("h") == END_HASH).agg(F.sum("c")).first()[0] or 0))
-    logs = F.col("_logs") + F.coalesce("_more", F.lit(0.0))
+    ends = F.coalesce(ends_, F.lit(model.words.where(F.col("h") == END_HASH).agg(F.sum("c")).first()[0] or 0))
+    logs = F.col(logs_) + F.coalesce(more_, F.lit(0.0))
     room = float(np.log10(model.total + ALPHA * (model.distinct + 1)))
     return whole.select(
-        *keep, "n_tokens", (F.col("_known") + F.coalesce("_found", F.lit(0)) + (ends > 0).cast("long")).alias("n_known"),
-        (logs + F.log10(ends + ALPHA) - F.col("n_tokens") * room).alias("base_score"), (logs + F.col("_path")).alias("score"),
+        *keep, "n_tokens", (F.col(known_) + F.coalesce(found_, F.lit(0)) + (ends > 0).cast("long")).alias("n_known"),
+        (logs + F.log10(ends + ALPHA) - F.col("n_tokens") * room).alias("base_score"), (logs + F.col(path_)).alias("score"),
     )
 
 
 def op7_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document; see fit and score for odd rows."""
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(crc_fold("doc_id", 5) == 1, F.lit(False)).alias("held_out"))
     model = fit(docs.where("NOT held_out"))
