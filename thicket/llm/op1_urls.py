@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm.common import table
+from thicket.llm.common import spare, stored, table
 
 #: (verdict, host, path) of the query's rules.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -41,11 +41,13 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
 
     A url is expanded only to suffixes of as many labels, and prefixes of as many characters, as some rule has: the sizes
     of both sets depend on the rules alone. Equal (suffix, prefix) keys are judged once, so a host with a third of all
-    pages is reduced before the shuffle; the way back is a left join that adaptive execution broadcasts if the judged keys
-    are small by their measured size, and else splits where it is skewed.
+    pages is reduced before the shuffle. The judged keys are written to the shared folder: the way back is a left join that
+    is planned by their measured size, broadcast if small, and otherwise one of two plain exchanges, whose skewed parts
+    adaptive execution splits, so that no task holds all pages of a host. No pages: no rows.
     """
     host, path = host_and_path(url)
-    named = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
+    own = spare(pages.columns, "_host", "_path")
+    named = pages.select("*", host.alias(own[0]), path.alias(own[1])).drop("host", "path", "rule", "verdict").withColumnsRenamed(dict(zip(own, ("host", "path"), strict=True)))
     rules = rules.select("r_verdict", "r_host", "r_path").where("r_host <> '' AND r_verdict IS NOT NULL AND r_path IS NOT NULL")
     shape = rules.agg(F.sort_array(F.collect_set(F.size(F.split("r_host", r"\.")))), F.sort_array(F.collect_set(F.length("r_path")))).first()
     labels, lengths = list(shape[0] or []), list(shape[1] or [])
@@ -56,23 +58,26 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     known = rules.withColumns({"digest": digest(F.col("r_host"), F.col("r_path")), "r_rule": F.concat("r_host", "r_path")})
     known = known.groupBy("digest", "r_rule").agg(F.max("r_verdict").alias("r_verdict")).withColumn("short", F.substring("digest", 1, prefix_hex))
 
-    named = named.withColumns({"_tail": F.substring_index("host", ".", -max(labels)), "_head": F.substring("path", 1, max(lengths))})
+    tail, head, best = spare(named.columns, "_tail", "_head", "_best")
+    named = named.withColumns({tail: F.substring_index("host", ".", -max(labels)), head: F.substring("path", 1, max(lengths))})
     # whether the host goes on beyond the tail decides nothing: a suffix starts at a label
-    parts = F.split("_tail", r"\.")
-    keys = named.select("_tail", "_head").where("_tail <> ''").distinct()
+    parts = F.split(tail, r"\.")
+    keys = named.select(tail, head).where(F.col(tail) != "").distinct()
     tries = [
-        F.when((F.size(parts) >= n) & (F.length("_head") >= m), digest(F.substring_index("_tail", ".", -n), F.substring("_head", 1, m)))
+        F.when((F.size(parts) >= n) & (F.length(head) >= m), digest(F.substring_index(tail, ".", -n), F.substring(head, 1, m)))
         for n in labels for m in lengths
     ]
-    asked = keys.select("_tail", "_head", F.explode(F.array_compact(F.array(*tries))).alias("asked")).withColumn("short", F.substring("asked", 1, prefix_hex))
-    found = asked.join(known, "short").where("asked = digest")
+    asked = keys.select(tail, head, F.explode(F.array_compact(F.array(*tries))).alias("asked")).withColumn("short", F.substring("asked", 1, prefix_hex))
+    # as one function of both digests the confirmation stays behind the join on the short prefix; digests are of one length
+    found = asked.join(known, "short").where("instr(asked, digest) = 1")
     # the least of (-length, rule) wins
-    judged = found.groupBy("_tail", "_head").agg(F.min(F.struct((-F.length("r_rule")).alias("n"), F.col("r_rule"), F.col("r_verdict"))).alias("_best"))
-    out = named.join(judged, ["_tail", "_head"], "left")
-    return out.withColumns({"rule": F.col("_best.r_rule"), "verdict": F.coalesce("_best.r_verdict", F.lit(default))}).drop("_tail", "_head", "_best")
+    judged = found.groupBy(tail, head).agg(F.min(F.struct((-F.length("r_rule")).alias("n"), F.col("r_rule"), F.col("r_verdict"))).alias(best))
+    out = named.join(stored(judged), [tail, head], "left")
+    return out.withColumns({"rule": F.col(f"{best}.r_rule"), "verdict": F.coalesce(f"{best}.r_verdict", F.lit(default))}).drop(tail, head, best)
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, host, path, rule, verdict) of every page; see filter_urls for odd rows."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return filter_urls(pages, rule_table(spark, RULES)).select("page_id", "host", "path", "rule", "verdict")
 
