@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 import corpus_pipeline
 from thicket.llm import near_copies
@@ -50,7 +51,10 @@ def classes(rows):
     return root, pairs
 
 
-def test_stage_keeps_one_of_each_class(spark, tmp_path):
+@pytest.mark.parametrize("part", [near_copies.PART_TEXTS, 10])
+def test_stage_keeps_one_of_each_class(spark, tmp_path, monkeypatch, part):
+    """Blocks as wholes, and in parts of about ten texts: copies, a chain and texts with one long passage in common."""
+    monkeypatch.setattr(near_copies, "PART_TEXTS", part)
     rows = texts()
     root, pairs = classes(rows)
     assert pairs > 150 and len(set(root)) > 80

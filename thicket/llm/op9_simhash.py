@@ -18,11 +18,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm.common import drop, slices, small_batches, split_words, stored, table, text_bytes
+from thicket.llm.common import drop, slices, small_batches, split_words, stored, table, text_bytes, without
 
 SEED = 42
-#: rows of 16 bytes that are sent to all executors at most
-MOST_BROADCAST = 2_000_000
+#: rows of about 50 bytes that are sent to all executors at most
+MOST_BROADCAST = 1_000_000
+#: a node with more edges than this is a hub
+HUB = 100_000
 
 
 def shingle_hashes(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +113,9 @@ def links(fps: DataFrame, most: int = 2) -> DataFrame:
     """(a, b), a < b in signed order: for each anchor a spanning forest of its fingerprints' links at `most` bits or fewer."""
     if not 0 <= most <= 2:
         raise ValueError("the anchors cover distances up to 2")
-    cells = anchored(fps).groupBy("anchor").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1").select("fps")
+    # 8 bytes become 32 rows: as many tasks as shuffles have, however few hold the fingerprints
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = anchored(fps.repartition(parts)).groupBy("anchor").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1").select("fps")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,12 +143,28 @@ def links(fps: DataFrame, most: int = 2) -> DataFrame:
     return cells.mapInArrow(run, "a long, b long")
 
 
+def with_least(edges: DataFrame, node: str, value: str, kept: list[str]) -> DataFrame:
+    """edges with m, the least `value` of their `node`.
+
+    Least values are grouped with partial sums. A hub, a node of more than HUB edges, would bring all its edges to one task of
+    the join: hubs are broadcast instead. They are at most as many as all edges over HUB, which rises where that is above
+    MOST_BROADCAST.
+    """
+    least = stored(edges.groupBy(node).agg(F.min(value).alias("m"), F.count("*").alias("n")), kept)
+    total, top = least.agg(F.sum("n"), F.max("n")).first()
+    bar = max(HUB, (total or 0) // MOST_BROADCAST)
+    if (top or 0) <= bar:
+        return edges.join(least.drop("n"), node)
+    hubs = F.broadcast(least.where(F.col("n") > bar).drop("n"))
+    rest = edges.join(hubs.select(node), node, "left_anti").join(least.where(F.col("n") <= bar).drop("n"), node)
+    return edges.join(hubs, node).unionByName(rest)
+
+
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(node, root): the smallest node that each node of the edges (a, b) reaches. Nodes without an edge are absent.
 
     Alternates large-star and small-star steps; each round is written to the shared folder. Stars hang leaves on a
-    minimum, which is a grouped minimum and a join, so a node with very many edges is combined before the shuffle and its
-    join may be split.
+    minimum, which is a grouped minimum and a join; see with_least for nodes of very many edges.
     """
     spark = edges.sparkSession
     kept: list[str] = []
@@ -152,11 +172,9 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     state = None
     for _ in range(most_rounds):
         both = now.union(now.select("lo", "hi")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
+        large = with_least(both, "u", "v", kept).where("v > u").select(F.col("v").alias("hi"), F.least("u", "m").alias("lo"))
         large = stored(large.where("hi <> lo").distinct(), kept)
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(low, "hi").select(F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("m").alias("lo"))
+        small = with_least(large, "hi", "lo", kept).select(F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("m").alias("lo"))
         now = stored(small.where("hi <> lo").distinct(), kept)
         size = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         for path in kept[:-1]:
@@ -171,11 +189,19 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(now.select("lo", "lo").distinct())
 
 
+def wide_hash(columns: list[str]) -> Column:
+    """32 hex digits of two 64-bit hashes of the columns' values: no two rows in sight of any table agree by chance."""
+    values = [F.col(f"`{c}`") for c in columns]
+    return F.concat(*(F.lpad(F.hex(F.xxhash64(F.lit(seed), *values)), 16, "0") for seed in ("first", "second")))
+
+
 def near_classes(docs: DataFrame, keep: list[str], text: str = "text", width: int = 3, most: int = 2) -> tuple[DataFrame, DataFrame]:
     """(docs' columns `keep` with fp, classes (fp, root)): equal roots mean linked by a chain. Fingerprints without a link have no class.
 
-    Exact copies share one fingerprint, and only different ones go to the anchors.
+    Exact copies share one fingerprint, and only different ones go to the anchors. A column of `keep` named fp is replaced.
+    Null and empty texts have fingerprint 0 and are linked like any other; no rows: no rows.
     """
+    keep = without(keep, ["fp"])
     made = stored(with_fingerprint(docs, keep, text, width))
     found = components(links(made.select("fp").distinct(), most))
     return made, found.select(F.col("node").alias("fp"), "root")
@@ -183,6 +209,7 @@ def near_classes(docs: DataFrame, keep: list[str], text: str = "text", width: in
 
 def component_ids(made: DataFrame, classes: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """made with component_id: the smallest doc_id of the class (null only if all its ids are null)."""
+    made = made.select(without(made.columns, ["component_id"]))
     least = made.groupBy("fp").agg(F.min(doc_id).alias("least"))
     whole = least.join(classes, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     roots = whole.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -195,6 +222,7 @@ def hexed(fp: str) -> Column:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every document; see near_classes and component_ids for odd rows."""
     small_batches(spark)
     made, classes = near_classes(table(spark, sf_dir, "documents"), ["doc_id"])
     return component_ids(made, classes).select("doc_id", hexed("fp").alias("fingerprint"), "component_id")
@@ -203,12 +231,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", near: Callable[[DataFrame, list[str], str], tuple[DataFrame, DataFrame]] = near_classes) -> DataFrame:
     """docs without near copies: of each class that `near` finds the row with the smallest doc_id stays (null ids last, then by the row's hash).
 
-    Repeated rows count as copies. Columns stay as they are. The texts are read once more against the rows that go, which
+    Repeated rows count as copies. Columns stay as they are; only names that begin with _thicket_ are not theirs to take. The texts are read once more against the rows that go, which
     are broadcast if there are at most MOST_BROADCAST; beyond that they meet in a join that adaptive execution may split.
     """
-    row = F.xxhash64(*[F.col(c) for c in docs.columns])
-    keyed = docs.withColumn("_thicket_row", row)
-    made, classes = near(keyed.select(doc_id, "_thicket_row", text), [doc_id, "_thicket_row"], text)
+    keyed = docs.withColumn("_thicket_row", wide_hash(docs.columns))
+    made, classes = near(keyed.select(F.col(doc_id).alias("_thicket_id"), "_thicket_row", F.col(text).alias("_thicket_text")), ["_thicket_id", "_thicket_row"], "_thicket_text")
+    doc_id = "_thicket_id"
     order = F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("i"), F.col("_thicket_row").alias("r"))
     by_fp = made.groupBy("fp").agg(F.min(order).alias("first")).join(classes, "fp", "left")
     best = by_fp.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
