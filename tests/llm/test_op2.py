@@ -57,6 +57,34 @@ def test_empty(spark):
 
 
 def test_the_cheap_and_strict_rule_comes_first(spark):
-    df = spark.createDataFrame([(i, "plain words that go on for a while here") for i in range(50)], "doc_id long, text string")
+    df = spark.createDataFrame([(i, "plain words that go on for a while here, past the base test") for i in range(50)], "doc_id long, text string")
     rules = (op.Rule("never", lambda t: t["n_words"] < 0), op.Rule("always", lambda t: t["n_words"] > 0))
     assert [r[0] for r in op.plan(df, "text", rules)] == ["always", "never"]
+
+
+def test_windows_whose_hashes_agree_are_still_told_apart(monkeypatch):
+    class Same:
+        def integers(self, *_, **__):
+            return np.zeros(6, np.uint64)
+
+    text = " ".join(f"w{i % 40}" for i in range(100)) + " " + " ".join(f"x{i}" for i in range(50))
+    words, doc = pa.array(text.split()), np.zeros(150, np.uint64)
+    want = op.repeated(words, doc)
+    monkeypatch.setattr(op.np.random, "default_rng", lambda *_: Same())
+    monkeypatch.setattr(op, "repeated", op.repeated)
+    assert want.sum() == 100 and op.repeated(words, doc).tolist() == want.tolist()
+
+
+def test_costs_leave_out_what_the_base_has_made(spark):
+    rng = random.Random(2)
+    long = [" ".join(f"word{rng.randint(0, 10**6)}" for _ in range(3000)) + "!" for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(["a b", None, *long])), "doc_id long, text string").coalesce(1)
+    cost = {k: (s, share) for k, s, share in op.plan(df, "text")}
+    # lines are counted before the cascade, letters are not; the base's own rejections are not the rules'
+    assert cost["dup_lines"][0] * 5 < cost["letters"][0] and all(share == 0 for _, share in cost.values())
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b", True, "x")], "doc_id long, text string, Kept boolean, _text string")
+    got = op.judge(df, keep=df.columns)
+    assert got.columns == ["doc_id", "text", "_text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"] and got.first()[:4] == (1, "a b", "x", 2)
