@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 from thicket.llm.common import stored
-from thicket.llm.op5_pii import KEY, Pseudonyms
+from thicket.llm.op5_pii import OPEN_KEY, Pseudonyms
 from thicket.llm.op9_simhash import fingerprints
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -67,7 +67,7 @@ def test_stages(spark, tmp_path):
         assert not known or min(known) in ids
 
     before, after = got["pii"]
-    change = Pseudonyms(KEY)
+    change = Pseudonyms(OPEN_KEY.encode())
     assert Counter((r[0], r[1]) for r in after) == Counter((r[0], change(r[1])[0]) for r in before)
     assert not any("4111111111111111" in r[1] or "555-0100" in r[1] for r in after)
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import ipaddress
+import logging
 import math
 import re
 from collections.abc import Callable, Iterator
@@ -18,10 +19,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm.common import slices, small_batches, table
+from thicket.llm.common import slices, small_batches, spare, table, without
 
-KEY = b"thicket pseudonyms"
 ROUNDS = 10
+#: the session setting that holds the key of the query and the pipeline's stage
+KEY_SETTING = "spark.thicket.pii.key"
+#: what they use where the setting is absent, as on the synthetic tables: no secret, so its pseudonyms can be turned back
+OPEN_KEY = "open key for synthetic tables"
+log = logging.getLogger("thicket")
+
+
+def session_key(spark: SparkSession) -> bytes:
+    key = spark.conf.get(KEY_SETTING, None)
+    if key is None:
+        log.warning("%s is not set: pseudonyms are made with an open key", KEY_SETTING)
+    return (key or OPEN_KEY).encode()
 
 
 class Feistel:
@@ -175,10 +187,10 @@ def iban(value: str, key: bytes) -> str | None:
 KINDS: tuple[tuple[str, str, Callable[[str, bytes], str | None]], ...] = (
     ("mail", r"(?<![\w.+%-])[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}(?![\w-])", mail),
     ("iban", r"(?<!\w)[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?!\w)", iban),
-    ("date", r"(?<![\w.])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w]|[.-/]\d)", date),
+    ("date", r"(?<![\w.])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?!\w|[-./]\d)", date),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", ssn),
     ("ip", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)", ip),
-    ("phone", r"(?<![\w+])(?:\+1[ .-]?|1[ .-])?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)", phone),
+    ("phone", r"(?<![\w+])(?:\+1[ .-]?|(?<!\.)1[ .-])?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)", phone),
     ("card", r"(?<![\w.-])\d{13,19}(?!\w|[.-]\d)", card),
     ("card", r"(?<![\w.-])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w|[.-]\d)", card),
 )
@@ -210,13 +222,18 @@ class Pseudonyms:
         for kind, pattern, f in self.patterns:
             if kind == "mail" and "@" not in text:
                 continue
+            # found is sorted and without overlaps, as are a kind's own matches: both are walked once, and merged
+            own, at = [], 0
             for m in pattern.finditer(text):
                 a, b = m.span()
-                if all(b <= x or y <= a for x, y, _, _ in found) and (new := self._of(kind, f, m[0])) is not None:
-                    found.append((a, b, kind, new))
+                while at < len(found) and found[at][1] <= a:
+                    at += 1
+                if (at == len(found) or b <= found[at][0]) and (new := self._of(kind, f, m[0])) is not None:
+                    own.append((a, b, kind, new))
+            if own:
+                found = sorted(found + own)
         if not found:
             return text, []
-        found.sort()
         out, at = [], 0
         for a, b, _, new in found:
             out += [text[at:a], new]
@@ -224,28 +241,32 @@ class Pseudonyms:
         return "".join([*out, text[at:]]), [(kind, a, b) for a, b, kind, _ in found]
 
 
-def pseudonymise(docs: DataFrame, keep: list[str], text: str = "text", key: bytes = KEY) -> DataFrame:
-    """The columns `keep`, the new text as `text`, and _found (array of kind, begin, end of the old text).
+def pseudonymise(docs: DataFrame, keep: list[str], key: bytes, text: str = "text", spans: str = "_found") -> DataFrame:
+    """The columns `keep`, the new text as `text`, and `spans` (array of kind, begin, end of the old text); columns of those two names are replaced.
 
     Null texts stay null. Texts without a valid value stay as they are, byte for byte; whole texts are searched, however
-    long. Rows are independent, so repeated rows, ties and null ids need no care. The key belongs to whoever may link values.
+    long. Rows are independent, so repeated rows, ties and null ids need no care; no rows: no rows. The key belongs to whoever
+    may link or turn back values.
     """
+    keep = without(keep, (text, spans))
+    text_, new_ = spare([*docs.columns, spans], "_text", "_new")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         change = Pseudonyms(key)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int32()), ("end", pa.int32())]))
-        for batch in slices(batches, "_text"):
-            got = [(None, []) if t is None else change(t) for t in batch.column("_text").to_pylist()]
-            spans = pa.array([[{"kind": k, "begin": a, "end": b} for k, a, b in s] for _, s in got], kind)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array([t for t, _ in got], pa.string()), spans], [*keep, "_new", "_found"])
+        for batch in slices(batches, text_):
+            got = [(None, []) if t is None else change(t) for t in batch.column(text_).to_pylist()]
+            where = pa.array([[{"kind": k, "begin": a, "end": b} for k, a, b in s] for _, s in got], kind)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array([t for t, _ in got], pa.string()), where], [*keep, new_, spans])
 
     kinds = [f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep]
-    made = docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, ", ".join([*kinds, "_new string, _found array<struct<kind:string,begin:int,end:int>>"]))
-    return made.withColumnRenamed("_new", text)
+    made = docs.select(*keep, F.col(text).alias(text_)).mapInArrow(run, ", ".join([*kinds, f"`{new_}` string, `{spans}` array<struct<kind:string,begin:int,end:int>>"]))
+    return made.withColumnRenamed(new_, text)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text, n_found, counts by kind) of every document; see pseudonymise for odd rows."""
     small_batches(spark)
-    out = pseudonymise(table(spark, sf_dir, "documents"), ["doc_id"])
+    out = pseudonymise(table(spark, sf_dir, "documents"), ["doc_id"], session_key(spark))
     count = lambda k: F.size(F.filter("_found", lambda x: x["kind"] == k)).alias(f"n_{k}")
     return out.select("doc_id", "text", F.size("_found").alias("n_found"), *(count(k) for k in dict.fromkeys(k for k, _, _ in KINDS)))
