@@ -64,3 +64,26 @@ def test_repeated_rows_and_empty(spark, rows):
     assert op.mix(df.limit(0), op.n_words("text")).count() == 0 and op.repeated(df.limit(0)).count() == 0
     one = spark.createDataFrame([(1, None, "a b")], "doc_id long, source string, text string")
     assert [tuple(r)[3:] for r in op.mix(one, op.n_words("text")).collect()] == [(2, 2, 2.0, 2)]
+
+
+NAMES = ("_size", "_key", "_s", "_epochs", "_rest", "_low", "_extra", "_ps", "_p", "_left", "_target", "_taken", "_times", "_source_size", "n", "before")
+
+
+def test_columns_of_any_name(spark):
+    rows = [(i, "ab"[i % 2], "w " * (i + 1), *([777] * len(NAMES))) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, " + ", ".join(f"`{n}` int" for n in NAMES)).coalesce(1)
+    out = op.mix(df, op.n_words("text"))
+    kept = [n for n in NAMES if n not in op.RESULTS]
+    assert out.columns == ["doc_id", "source", "text", *kept, *op.RESULTS]
+    got = out.collect()
+    assert sorted(r.doc_id for r in got) == list(range(20)) and all(r["_size"] == r.doc_id + 1 for r in got)
+    assert all(r[n] == 777 for r in got for n in kept)
+    again = op.repeated(df)
+    assert again.columns == df.columns and all(r[n] == 777 for r in again.collect() for n in NAMES)
+
+
+def test_too_many_sources_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(op, "MOST_SOURCES", 2)
+    df = spark.createDataFrame([(i, f"s{i}", "a") for i in range(4)], "doc_id long, source string, text string")
+    with pytest.raises(ValueError, match="more than 2 sources"):
+        op.mix(df, op.n_words("text"))

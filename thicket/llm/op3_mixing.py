@@ -13,11 +13,14 @@ from itertools import cycle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from thicket.llm.common import WORD, stored, table
+from thicket.llm.common import WORD, spare, stored, table, without
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_EPOCHS = 3.0
 MOST_BROADCAST = 100_000
+#: source names go to the driver, where weights are given by name; more than this are an error
+MOST_SOURCES = 1_000_000
+RESULTS = ("_size", "_source_size", "_target", "_taken")
 
 
 def n_words(text: str) -> Column:
@@ -50,26 +53,32 @@ def by_turns(names: Sequence[str | None], weights: Sequence[float] = WEIGHTS) ->
     return dict(zip([*ordered, *([None] if None in names else [])], cycle(weights), strict=False))
 
 
-def mix(docs: DataFrame, size: Column, source: str = "source", key: Sequence[str] = ("doc_id",), weights: Callable[[Sequence[str | None]], dict] = by_turns, share: float = 1.0, most: float = MOST_EPOCHS, seed: int = 17, near_keys: int = 64) -> DataFrame:
+def mix(docs: DataFrame, size: Column, source: str = "source", key: Sequence[str] = ("doc_id",), weights: Callable[[Sequence[str | None]], dict] = by_turns, share: float = 1.0, most: float = MOST_EPOCHS, seed: int = 17, near_keys: int = 64, names: Sequence[str] = RESULTS) -> DataFrame:
     """docs with _size, _source_size, _target and _taken: the words that the mix takes from the document, a whole number of times its size.
 
     weights: from the sources' names, null included, to their weights. The budget is `share` of all sizes. A source with
     target T and size S is read floor(T / S) times whole, and of the next time it gives the documents of the smallest keys
     as long as they fit, and one more of the `near_keys` that follow, the one that fills best what is left. So a source
-    misses its target by half a document at most. The hash of `key` and the seed is the key, and rows that agree in `key` are cut together: `key` should name
-    documents. Sizes of 0 take nothing. The source names go to the driver, one row each, as the weights are given there.
-    Results are the same for every partitioning. Columns of docs may have any other names than these four.
+    misses its target by half a document at most. The hash of `key` and the seed is the key, and rows that agree in `key`
+    are cut together: `key` should name documents. Sizes of 0 take nothing. The source names go to the driver, one row each, as the weights are given there, and
+    more than MOST_SOURCES of them are an error. Results are the same for every partitioning. `names` are those of the four
+    results, and replace columns of those names; no rows: no rows.
     """
     spark = docs.sparkSession
-    sized = docs.withColumns({"_size": size, "_key": F.xxhash64(F.lit(seed), *[F.col(k) for k in key])})
+    own = without(docs.columns, names)
+    # the tables in between have names of their own; the documents' columns join them only at the end, under spare names
+    size_, key_, source_ = spare([*docs.columns, *names, "_ps", "_source_size", "_target", "_epochs", "_rest", "_low", "_extra"], "_size", "_key", "_s")
+    whole_docs = docs.select("*", size.alias(size_), F.xxhash64(F.lit(seed), *[F.col(f"`{k}`") for k in key]).alias(key_), F.col(f"`{source}`").alias(source_))
+    sized = whole_docs.select(F.col(source_).alias("_s"), F.col(key_).alias("_key"), F.col(size_).alias("_size"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = F.col(source).alias("_s")
-    ranged = sized.select(name, "_key", "_size").where("_size > 0").repartitionByRange(parts, "_s", "_key")
+    ranged = sized.where("_size > 0").repartitionByRange(parts, "_s", "_key")
     ranged = stored(ranged.withColumn("_p", F.spark_partition_id()))
     part_sums = stored(ranged.groupBy("_s", "_p").agg(F.sum("_size").alias("n")))
 
     rows = part_sums.groupBy("_s").agg(F.sum("n").alias("n")).collect()
-    all_names = [r[0] for r in sized.select(name).distinct().collect()]
+    all_names = [r[0] for r in sized.select("_s").distinct().limit(MOST_SOURCES + 1).collect()]
+    if len(all_names) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources: mix groups of them")
     total = {r["_s"]: r["n"] for r in rows}
     weight = weights(all_names)
     goal = dict(zip(all_names, targets([total.get(s, 0) for s in all_names], [weight[s] for s in all_names], share * sum(total.values()), most), strict=True))
@@ -100,12 +109,18 @@ def mix(docs: DataFrame, size: Column, source: str = "source", key: Sequence[str
     cuts = [(r["_cs"], r["_low"], fill.get(r["_cs"])) for r in lows.collect()]
     cuts = spark.createDataFrame(cuts, "_cs string, _low long, _extra long")
     whole = plan_df.join(cuts, plan_df["_s"].eqNullSafe(cuts["_cs"]), "left").drop("_cs").withColumnRenamed("_s", "_ps")
-    more = F.coalesce(F.col("_key") <= F.col("_low"), F.lit(False)) | F.coalesce(F.col("_key") == F.col("_extra"), F.lit(False))
-    out = sized.join(small(whole), sized[source].eqNullSafe(whole["_ps"]), "left")
-    return out.withColumn("_taken", F.col("_size") * (F.col("_epochs") + more.cast("int"))).select(*docs.columns, "_size", "_source_size", "_target", "_taken")
+    # in the join these names are not the documents'
+    inner = spare([*docs.columns, size_, key_, source_, *names], "_ps", "_source_size", "_target", "_epochs", "_rest", "_low", "_extra")
+    whole = whole.select("_ps", "_source_size", "_target", "_epochs", "_rest", "_low", "_extra").toDF(*inner)
+    ps_, total_, target_, epochs_, _, low_, extra_ = inner
+    more = F.coalesce(F.col(key_) <= F.col(low_), F.lit(False)) | F.coalesce(F.col(key_) == F.col(extra_), F.lit(False))
+    out = whole_docs.join(small(whole), whole_docs[source_].eqNullSafe(whole[ps_]), "left")
+    made = (F.col(size_), F.col(total_), F.col(target_), F.col(size_) * (F.col(epochs_) + more.cast("int")))
+    return out.select(*[F.col(f"`{c}`") for c in own], *(c.alias(n) for c, n in zip(made, names, strict=True)))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) of every document; see mix for odd rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     out = mix(docs, n_words("text"))
     return out.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
@@ -113,8 +128,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def repeated(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
     """docs as the mix has them: each row as often as it is taken. Rows that agree in all columns are cut together; columns stay as they are."""
-    out = mix(docs, n_words(text), source, docs.columns)
-    times = F.when(F.col("_size") > 0, (F.col("_taken") / F.col("_size")).cast("int")).otherwise(0)
+    *names, times_ = spare(docs.columns, *RESULTS, "_times")
+    size, _, _, taken = names
+    out = mix(docs, n_words(text), source, docs.columns, names=names)
+    times = F.when(F.col(size) > 0, (F.col(taken) / F.col(size)).cast("int")).otherwise(0)
     # a document without words weighs nothing: it stays once, whatever the weights
-    times = F.when(F.col("_size") == 0, 1).otherwise(times)
-    return out.withColumn("_times", F.explode(F.array_repeat(F.lit(1), times))).select(docs.columns)
+    times = F.when(F.col(size) == 0, 1).otherwise(times)
+    return out.withColumn(times_, F.explode(F.array_repeat(F.lit(1), times))).select(docs.columns)
