@@ -11,7 +11,7 @@ from thicket.sources import persist
 
 
 def test_lists_and_inspects(capsys, tmp_path):
-    assert main(["list", "boosters"]) == 0
+    assert main(["list", "models"]) == 0
     assert capsys.readouterr().out.split() == ["gbdt", "gblinear", "linear_trees"]
     persist.save(fixed_model(), tmp_path / "m.bin")
     assert main(["inspect", str(tmp_path / "m.bin")]) == 0

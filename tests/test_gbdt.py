@@ -148,3 +148,83 @@ def test_odd_inputs(spark):
     s = EarlyStopping(2, False)
     assert [s.update(v) for v in (3, 2, 2, 2)] == ["improved", "improved", "continue", "stop"]
     assert find(np.zeros((1, 2, 3)), np.zeros(3), np.array([2]), np.array([False]), np.array([False]), SplitParams()) is None
+
+
+def same(a, b):
+    return [vars(t) for t in a.trees] == [vars(t) for t in b.trees]
+
+
+def test_a_round_costs_the_same_however_long_the_forest(spark):
+    """Without memory for margins a job adds the trees since the last write, never the whole forest; trees and metrics are those of one twin."""
+    from thicket.plans.gbdt import Trainer
+
+    x, y = data()
+    ds = Dataset.from_numpy(spark, x[:400], y[:400])
+    valid = Dataset.from_numpy(spark, x[400:], y[400:])
+    c = GBDTConfig(n_estimators=7, max_depth=2, margin_rounds=3, margin_bytes=0, min_samples_leaf=3)
+    trainer, metric = Trainer(ds, c, valid), M.get("rmse")
+    for _ in range(c.n_estimators):
+        trainer.round()
+        assert len(trainer.state.trees) < c.margin_rounds
+    p = trainer.evaluate("valid", metric)
+    from thicket.operators.forest import Forest
+
+    forest = Forest(trainer.made, trainer.base)
+    assert abs(p - np.sqrt(np.mean((forest.margins(x[400:])[0] - y[400:]) ** 2))) < 1e-9
+    assert np.abs(forest.margins(x[:400])[0] - twin(x[:400], y[:400], np.ones(400), c)).max() < 1e-6
+    trainer.close()
+
+
+def test_evicted_histograms_are_counted_again(spark):
+    x, y = data(300)
+    ds = Dataset.from_numpy(spark, x, y, categorical_features=[2])
+    for growth in ("depthwise", "leafwise"):
+        a, b = (train(ds, GBDTConfig(n_estimators=2, max_depth=3, n_leaves=6, growth=growth, histogram_bytes=n)).forest for n in (0, 1 << 30))
+        assert np.abs(a.margins(x) - b.margins(x)).max() < 1e-9 and [t.feature for t in a.trees] == [t.feature for t in b.trees]
+
+
+def test_pool_keeps_the_last_used():
+    from thicket.plans.gbdt import HistogramPool
+
+    pool = HistogramPool(3 * 80)
+    for i in range(3):
+        pool[0, i] = np.zeros(10)
+    assert pool.use((0, 0)) is not None
+    pool[0, 3] = np.zeros(10)
+    assert sorted(pool) == [(0, 0), (0, 2), (0, 3)] and pool.held == 240 and pool.use((0, 1)) is None
+
+
+def test_bundled_columns_give_the_same_trees(spark):
+    from thicket.operators.binning import BinningConfig
+    from thicket.plans.gbdt import Trainer
+
+    rng = np.random.default_rng(4)
+    n = 900
+    hot = rng.integers(0, 30, n)
+    x = np.column_stack([rng.normal(size=n).round(1), *((hot == k) * float(rng.integers(1, 4)) for k in range(25))])
+    x[:, 3] = np.where(rng.random(n) < 0.02, np.nan, x[:, 3])
+    y = x[:, 0] + np.isin(hot, [2, 5, 9, 20]) * 4.0 + rng.normal(size=n) * 0.1
+    ds = Dataset.from_numpy(spark, x, y, categorical_features=range(1, 26))
+    configs = [GBDTConfig(n_estimators=3, max_depth=4, binning=BinningConfig(enable_bundling=on)) for on in (True, False)]
+    trainer = Trainer(ds, configs[0])
+    assert trainer.bundles and trainer.state.layout.height < 12 < len(trainer.mappers)
+    trainer.close()
+    a, b = (train(ds, c).forest for c in configs)
+    assert np.abs(a.margins(x) - b.margins(x)).max() < 1e-9
+    assert [t.feature for t in a.trees] == [t.feature for t in b.trees] and any(f > 0 for t in a.trees for f in t.feature)
+
+
+def test_goss_keeps_exactly_the_greatest(spark):
+    from thicket.plans.gbdt import Trainer
+
+    x, y = data(700)
+    w = np.random.default_rng(2).random(700)
+    trainer = Trainer(Dataset.from_numpy(spark, x, y, w), GBDTConfig(learning_rate=1.0, goss=(0.2, 0.1)))
+    trainer.round()  # the warm-up
+    m = trainer.made[0].predict(x) + trainer.base[0]
+    size = np.sort(np.abs(w * (m - y) * w))[::-1]
+    least, share, scale = trainer.goss_bounds()
+    assert abs(least - size[139]) < 1e-12
+    above = int((size >= least).sum())
+    assert abs(share - 70 / (700 - above)) < 1e-12 and abs(scale - 560 / 70) < 1e-9
+    trainer.close()

@@ -205,3 +205,24 @@ def test_scores_a_stream(spark, tmp_path):
     q = score.windowed_error(stream, m, "ts", "y").writeStream.format("memory").queryName("windowed_error").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("windowed_error").agg(F.sum("n")).first()[0] == 20
+
+
+def test_auc_of_very_many_scores_is_exact_and_repeats(spark):
+    from pyspark.sql import functions as F
+
+    from thicket.functions import metrics as M
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    df = spark.range(0, 1_200_000, 1, 16).select(((F.xxhash64("id") % 1_000_003) / 1_000_003 + F.col("id") * 1e-9).alias("p"), F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1000)).alias("u"))
+    df = df.select("p", F.when(F.col("u") / 1000 < 0.5 + F.col("p") / 3, 1.0).otherwise(0.0).alias("y"))
+    got = [M.auc(df, "p", "y").first()[0] for _ in range(3)]
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    t = df.toPandas()
+    s = np.rint(t["p"].to_numpy() / 1e-10)
+    _, at, n = np.unique(s, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(n) - (n - 1) / 2)[at]
+    y = t["y"].to_numpy()
+    pos = y.sum()
+    want = (rank[y == 1].sum() - pos * (pos + 1) / 2) / (pos * (len(y) - pos))
+    assert len(n) > 1_000_000 and len(set(got)) == 1 and abs(got[0] - want) < 1e-9

@@ -21,7 +21,7 @@ def _generated(maker, n: int, f: int):
 
 
 def configurations() -> dict[str, E.RunConfig]:
-    """The built-in configurations: generated regression, binary and five-class data for both boosters and linear trees."""
+    """The built-in configurations: generated regression, binary and five-class data for both kinds of models and linear trees."""
     out = {}
     for size, n, f in (("small", 2000, 50), ("medium", 10_000, 100)):
         makers = (("reg", "regression", synthetic.regression), ("bin", "binary", synthetic.binary), ("multi", "multiclass", lambda s, n, f: synthetic.multiclass(s, n, f, 5)))
@@ -63,7 +63,7 @@ def parser() -> argparse.ArgumentParser:
     add("report", ("results", {}), ("--csv", {"default": None}))
     add("record", ("results", {}), ("baseline", {}))
     add("check", ("results", {}), ("baseline", {}), ("--tolerance", {"type": float, "default": 0.02}))
-    add("list", ("what", {"choices": ["datasets", "boosters", "suites", "tasks", "objectives"]}))
+    add("list", ("what", {"choices": ["datasets", "models", "suites", "tasks", "objectives"]}))
     add("train", ("table", {}), ("model", {}), ("--label", {"required": True}), ("--features", {"required": True, "help": "comma-separated"}), ("--objective", {"default": "squared"}), ("--params", {"default": "{}", "help": "JSON"}))
     add("predict", ("table", {}), ("model", {}), ("out", {}))
     add("inspect", ("model", {}))
@@ -73,7 +73,7 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: Sequence[str] | None = None) -> int:
     a = parser().parse_args(argv)
     if a.command == "list":
-        found = {"datasets": {c.name.split("/")[0] for c in configurations().values()}, "boosters": set(E.BOOSTER_DEFAULTS), "suites": set(E.SUITES), "tasks": {c.task for c in configurations().values()}, "objectives": set(objectives.NAMES)}
+        found = {"datasets": {c.name.split("/")[0] for c in configurations().values()}, "models": set(E.BOOSTER_DEFAULTS), "suites": set(E.SUITES), "tasks": {c.task for c in configurations().values()}, "objectives": set(objectives.NAMES)}
         print("\n".join(sorted(found[a.what])))
         return 0
     if a.command == "inspect":

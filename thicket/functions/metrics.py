@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from thicket.session import materialised
+
 #: fixed values that results must share
 PROB_CLIP, MAPE_FLOOR, RATE_CLIP, TIE = 1e-15, 1e-15, 1e-9, 1e-10
 
@@ -97,6 +99,8 @@ def auc(df: DataFrame, p: str, y: str, w: str | None = None, by: Sequence[str] =
     scored = df.select(*by, F.round(F.col(p) / TIE).alias("_s"), F.when(F.col(y) > 0.5, weight).otherwise(0.0).alias("_pos"), F.when(F.col(y) > 0.5, 0.0).otherwise(weight).alias("_neg"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ties = scored.groupBy(*by, "_s").agg(F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg")).repartitionByRange(parts, *by, "_s").withColumn("_p", F.spark_partition_id())
+    # written once: each use of a range partitioning would sample bounds of its own
+    ties = materialised(ties)
     sums = ties.groupBy(*by, "_p").agg(F.sum("_neg").alias("_n"))
     before = sums.withColumn("_before", F.sum("_n").over(Window.partitionBy(*by).orderBy("_p")) - F.col("_n")).drop("_n")
     inside = Window.partitionBy(*by, "_p").orderBy("_s")

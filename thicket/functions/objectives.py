@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from thicket.session import materialised
+
 #: fixed values that results must share: clamps of exponents, probabilities and hessians
 EXP_LIMIT, PROB_FLOOR, HESS_FLOOR, RATE_FLOOR = 30.0, 1e-7, 1e-6, 1e-7
 
@@ -59,21 +61,18 @@ def weighted_quantile(df: DataFrame, value: str, weight: str | None, alpha: floa
     w = F.col(weight) if weight else F.lit(1.0)
     by = df.select(F.col(value).alias("v"), w.cast("double").alias("w")).where("v IS NOT NULL").groupBy("v").agg(F.sum("w").alias("w"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by = by.repartitionByRange(parts, "v").withColumn("p", F.spark_partition_id()).persist()
-    try:
-        sums = sorted(by.groupBy("p").agg(F.sum("w")).collect())
-        goal, before = alpha * sum(s for _, s in sums), 0.0
-        for p, s in sums:
-            if before + s >= goal:
-                cum = F.sum("w").over(Window.partitionBy("p").orderBy("v")) + F.lit(before)
-                found = by.where(F.col("p") == p).withColumn("c", cum).where(F.col("c") >= goal).agg(F.min("v"), F.max("v")).first()[0]
-                if found is not None:
-                    return float(found)
-            before += s
-        last = by.agg(F.max("v")).first()[0]
-        return float(last) if last is not None else 0.0
-    finally:
-        by.unpersist()
+    by = materialised(by.repartitionByRange(parts, "v").withColumn("p", F.spark_partition_id()))
+    sums = sorted(by.groupBy("p").agg(F.sum("w")).collect())
+    goal, before = alpha * sum(s for _, s in sums), 0.0
+    for p, s in sums:
+        if before + s >= goal:
+            cum = F.sum("w").over(Window.partitionBy("p").orderBy("v")) + F.lit(before)
+            found = by.where(F.col("p") == p).withColumn("c", cum).where(F.col("c") >= goal).agg(F.min("v")).first()[0]
+            if found is not None:
+                return float(found)
+        before += s
+    last = by.agg(F.max("v")).first()[0]
+    return float(last) if last is not None else 0.0
 
 
 @dataclass(frozen=True)

@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from thicket.session import materialised
 from thicket.sources.dataset import ROW, Dataset
 
 BIG = float(np.finfo(np.float64).max)
@@ -110,14 +111,16 @@ class Mapper:
         return np.where(np.isnan(x), absent, at).astype(np.uint16)
 
     def column(self, c: Column) -> Column:
-        """The same as apply(), in the JVM: a count of the bounds below."""
+        """The same as apply(), in the JVM: a binary search of the bounds, a level a step."""
         absent = F.lit(self.missing_bin or 0)
         bounds = F.array(*[F.lit(float(b)) for b in self.bounds]) if self.bounds else F.array().cast("array<double>")
         if self.categorical:
             at = F.array_position(bounds, c)
             return F.when(c.isNull() | (at == 0), absent).otherwise(at - 1).cast("int")
-        below = F.size(F.filter(bounds, lambda b: b < c))
-        return F.when(c.isNull(), absent).otherwise(F.least(below, F.lit(len(self.bounds) - 1))).cast("int")
+        # at: how many bounds are known to lie below; each step halves what is open
+        steps = [1 << i for i in range(len(self.bounds).bit_length() - 1, -1, -1)] or [1]
+        at = F.aggregate(F.array(*[F.lit(k) for k in steps]), F.lit(0), lambda a, k: F.when((a + k <= len(self.bounds)) & (F.get(bounds, a + k - 1) < c), a + k).otherwise(a))
+        return F.when(c.isNull(), absent).otherwise(F.least(at, F.lit(len(self.bounds) - 1))).cast("int")
 
     def value(self, b: int) -> float | None:
         """A bin's upper bound or category; none for the missing bin."""
@@ -138,7 +141,7 @@ def ranked_values(distinct: DataFrame) -> DataFrame:
     Ranks come from partition counts of a range sort, so a feature with very many values is not one task's.
     """
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = distinct.repartitionByRange(parts, "feature", "v").withColumn("p", F.spark_partition_id()).persist()
+    ranged = materialised(distinct.repartitionByRange(parts, "feature", "v").withColumn("p", F.spark_partition_id()))
     inside = Window.partitionBy("feature", "p").orderBy("v")
     counts = ranged.groupBy("feature", "p").agg(F.count("*").alias("c"), F.min("v").alias("first"))
     over = Window.partitionBy("feature").orderBy("p")
@@ -155,6 +158,11 @@ def wanted_ranks(n: int, max_bins: int) -> list[int]:
 
 
 def fit(ds: Dataset, config: BinningConfig = BinningConfig()) -> list[Mapper]:
+    """The mappers of fit_analysed."""
+    return fit_analysed(ds, config)[0]
+
+
+def fit_analysed(ds: Dataset, config: BinningConfig = BinningConfig()) -> tuple[list[Mapper], list[FeatureAnalysis]]:
     """Mappers of all features that are not trivial, in feature order.
 
     Bounds are midpoints between distinct values, not row quantiles. Up to sample_cnt rows all values count; above, those
@@ -193,7 +201,7 @@ def fit(ds: Dataset, config: BinningConfig = BinningConfig()) -> list[Mapper]:
         elif not a.trivial and a.feature not in cats:
             inner = sorted(set(bounds[a.feature]))
             out.append(Mapper(a.feature, False, (*inner, BIG), a.n_missing > 0 and a.n_valid > 0, a.low, a.high))
-    return out
+    return out, found
 
 
 def transform(ds: Dataset, mappers: Sequence[Mapper], prefix: str = "b_") -> DataFrame:

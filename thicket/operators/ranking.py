@@ -7,11 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from thicket.session import materialised
+
 
 def numbered(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
-    """df with _n: the place of each row in the order, from 0. Ranges and their counts, so no task sees all rows."""
+    """df with _n: the place of each row in the order, from 0. Ranges and their counts, so no task sees all rows; the ranges are written, as their bounds must not be drawn anew."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()).persist()
+    ranged = df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id())
+    ranged = materialised(ranged)
     counts = ranged.groupBy("_p").agg(F.count("*").alias("c")).collect()
     before, total = {}, 0
     for p, c in sorted(counts):

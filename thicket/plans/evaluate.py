@@ -92,9 +92,20 @@ def with_missing(df: DataFrame, column: str, key: str, share: float, seed: int,
     return df.withColumn(column, F.when(hit & (where if where is not None else F.lit(True)), F.lit(float("nan"))).otherwise(F.col(column).cast("double")))
 
 
+def percentile(df: DataFrame, column: str, level: float) -> float | None:
+    """Linear between the two values next to place level * (n - 1); none without values. Places come from ranges, so no task holds all values."""
+    rows = numbered(df.select(F.col(column).alias("v")).where("v IS NOT NULL"), ["v"])
+    at = level * (rows.count() - 1)
+    if at < 0:
+        return None
+    got = dict(map(tuple, rows.where(F.col("_n").isin(math.floor(at), math.ceil(at))).select("_n", F.col("v").cast("double")).collect()))
+    low, high = got[math.floor(at)], got[math.ceil(at)]
+    return low + (high - low) * (at - math.floor(at))
+
+
 def with_weights(df: DataFrame, target: str, key: str, seed: int, factor: float = 5.0, level: float = 0.8, noise: float = 0.1) -> DataFrame:
     """_w: `factor` above the level-quantile of the target and 1 below, with noise, at least 0.01."""
-    cut = df.agg(F.percentile(target, F.lit(level))).first()[0]
+    cut = percentile(df, target, level)
     u = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(2**20)) / float(2**20)
     return df.withColumn("_w", F.greatest(F.lit(0.01), F.when(F.col(target) > F.lit(cut), factor).otherwise(1.0) + noise * (2 * u - 1)))
 
@@ -181,7 +192,7 @@ def rcrps(df: DataFrame, ps: Sequence[str], y: str, q: Sequence[float], w: str |
     check_quantiles(q)
     weight = checked_weight(df, w)
     top = df.agg(F.sum(weight * crps([F.col(p) for p in ps], F.col(y), q)) / F.sum(weight)).first()[0]
-    low, high = weighted_quantile_interpolated(df, y, w, (0.05, 0.95)) if w else df.agg(F.percentile(y, F.lit(0.05)), F.percentile(y, F.lit(0.95))).first()
+    low, high = weighted_quantile_interpolated(df, y, w, (0.05, 0.95)) if w else (percentile(df, y, 0.05), percentile(df, y, 0.95))
     return top / (high - low) if high != low else math.nan
 
 
