@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -13,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from thicket.session import drop, materialised
+
 #: Words are runs of characters other than space and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -38,48 +37,8 @@ def without(columns: Sequence[str], results: Iterable[str]) -> list[str]:
     return [c for c in columns if c.lower() not in own]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A local one serves a local session that names none; a cluster must name one."""
-    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints/thicket")
-        found = spark.sparkContext.getCheckpointDir()
-    own = f"{found.rstrip('/')}/thicket-{spark.sparkContext.applicationId}"
-    if own not in _used:
-        _used.add(own)
-        atexit.register(_remove, own)
-    return own
-
-
-_used: set[str] = set()
-
-
-def _remove(path: str) -> None:
-    """At the driver's end nothing reads the tables in between any more."""
-    spark = SparkSession.getActiveSession()
-    if spark is not None and spark.sparkContext._jsc is not None:
-        with contextlib.suppress(Exception):
-            drop(spark, path)
-
-
-def stored(df: DataFrame, keep: list | None = None) -> DataFrame:
-    """df written to the shared folder and read again: lineage is cut, and a lost executor loses no result.
-
-    keep collects the paths, so that a loop can drop() what it no longer reads.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if keep is not None:
-        keep.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+#: a table written to the shared folder and read again: lineage is cut, and a lost executor loses no result
+stored = materialised
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
