@@ -247,6 +247,7 @@ def bundle_plan(ds: Dataset, config: BinningConfig = BinningConfig(), sample: in
         return []
     n = ds.df.count()
     df = ds.df if n <= sample else ds.df.where(F.pmod(F.xxhash64(F.lit(42), ROW), F.lit(2**20)) < int(sample / n * 2**20))
+    df = materialised(df.select(*features))
     rows = df.count()
     pairs = [tuple(r) for r in conflicts(df, features).collect()]
     if 2 * len([p for p in pairs if p[2]]) / (len(features) * (len(features) - 1)) > 0.5:

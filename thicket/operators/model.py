@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from thicket.functions import objectives as O
 from thicket.operators import explain
 from thicket.operators.forest import Forest, apply_kernel
+from thicket.sources.dataset import coded
 
 
 @dataclass
@@ -54,15 +55,14 @@ class GBDTModel:
                 names.append(f)
                 continue
             kind = df.schema[f].dataType.simpleString()
-            same = {v: float(c) for c, v in enumerate(values)}
             if kind in ("string", "boolean") or list(values) != [float(c) for c in range(len(values))]:
-                of = F.create_map(*[F.lit(x) for v, c in same.items() for x in (v, c)])
                 key = F.col(f) if kind in ("string", "boolean") else F.col(f).cast("double")
-                extra[f"_code{i}"] = F.try_element_at(of, key)
+                df, extra[f"_code{i}"] = coded(df, key, values)
                 names.append(f"_code{i}")
             else:
                 names.append(f)
-        return df.withColumns(extra) if extra else df, names
+        names_before = [c for c in df.columns if not c.startswith("_code_")]
+        return (df.select(*names_before, *[c.alias(n) for n, c in extra.items()]) if extra else df), names
 
     def transform(self, df: DataFrame, raw: str = "raw", prediction: str = "prediction", tree_weights: Sequence[float] | None = None) -> DataFrame:
         """df with arrays of margins (raw) and predictions. One narrow step in Arrow batches; tree_weights scale trees, as for dropped-out ones."""

@@ -296,24 +296,6 @@ def train_stump(spark: SparkSession, d: str) -> DataFrame:
     return model.transform(t).select("k", "n", r6(F.col("prediction")[0], "prediction"))
 
 
-@query()
-def train_gbdt(spark: SparkSession, d: str) -> DataFrame:
-    """Depth-wise trees over numeric, missing and categorical features; predictions of all rows."""
-    from thicket.plans.gbdt import GBDTConfig
-
-    model = GBDTModel.train(dataset(spark, d), GBDTConfig(n_estimators=3, max_depth=4))
-    return model.transform(rows(spark, d)).select("k", "n", r6(F.col("prediction")[0], "prediction"))
-
-
-@query()
-def train_leafwise_softmax(spark: SparkSession, d: str) -> DataFrame:
-    """One leaf-wise round of three outputs: the node table."""
-    from thicket.plans.gbdt import GBDTConfig
-
-    ds = Dataset.from_dataframe(rows(spark, d), ["q", "disc", "tax"], "yc", row=F.col("k") * 8 + F.col("n"))
-    return GBDTModel.train(ds, GBDTConfig(objective=O.softmax_loss(3), n_estimators=1, growth="leafwise", n_leaves=6)).table(spark)
-
-
 @query()
 def train_linear_leaves(spark: SparkSession, d: str) -> DataFrame:
     from thicket.operators.linear_leaf import LinearLeafConfig
@@ -362,28 +344,19 @@ def predict_expression(spark: SparkSession, d: str) -> DataFrame:
     return coded.withColumn("flag", F.col("_code2")).select("k", "n", r6(fixed_model().expressions()[0], "prediction"))
 
 
-@query("""SELECT * FROM (VALUES (0, 'q', 'split', 1.0), (1, 'disc', 'split', 1.0), (2, 'flag', 'split', 1.0), (0, 'q', 'gain', 8.0), (1, 'disc', 'gain', 3.0), (2, 'flag', 'gain', 5.0), (0, 'q', 'average_gain', 8.0), (1, 'disc', 'average_gain', 3.0), (2, 'flag', 'average_gain', 5.0),
-(0, 'q', 'cover', 100.0), (1, 'disc', 'cover', 40.0), (2, 'flag', 'cover', 100.0), (0, 'q', 'average_cover', 100.0), (1, 'disc', 'average_cover', 40.0), (2, 'flag', 'average_cover', 100.0)) t(feature, name, kind, value)""")
-def feature_importance(spark: SparkSession, d: str) -> DataFrame:
-    m = fixed_model()
-    parts = [m.feature_importance(spark, k).withColumn("kind", F.lit(k)) for k in explain.KINDS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-@query("SELECT * FROM (VALUES (0, 'q', 0.5), (2, 'flag', 0.3125)) t(feature, name, value)")
-def importance_top(spark: SparkSession, d: str) -> DataFrame:
-    return explain.top(explain.normalised(fixed_model().feature_importance(spark, "gain")), 2)
+# the first tree's expected values: of nothing, of q alone, of disc alone; covers are 60 and 40, 15 and 25
+LATE = "(15 * 0.25 + 25 * 1.5) / 40"
+DISC = "CASE WHEN disc IS NULL OR disc < 0.05 THEN 0.25 ELSE 1.5 END"
+NOTHING, ONLY_Q, ONLY_DISC = f"(0.6 * -0.5 + 0.4 * {LATE})", f"CASE WHEN q < 25.5 THEN -0.5 ELSE {LATE} END", f"(0.6 * -0.5 + 0.4 * {DISC})"
 
 
-@query(f"WITH {ROWS_SQL} SELECT k, n, round(CASE WHEN flag IN ('A', 'R') THEN 0.3 ELSE -0.7 END, 6) AS flag FROM rows")
+@query(f"""WITH {ROWS_SQL} SELECT k, n, round((({ONLY_Q}) - {NOTHING} + ({TREE_A}) - {ONLY_DISC}) / 2, 6) AS q, round(({ONLY_DISC} - {NOTHING} + ({TREE_A}) - ({ONLY_Q})) / 2, 6) AS disc,
+round(CASE WHEN flag IN ('A', 'R') THEN 0.75 ELSE -0.25 END - (0.7 * 0.75 + 0.3 * -0.25), 6) AS flag, round(1 + {NOTHING} + 0.7 * 0.75 + 0.3 * -0.25, 6) AS base FROM rows""")
 def tree_shap(spark: SparkSession, d: str) -> DataFrame:
-    """The category's Shapley value: alone in its tree, its leaf less the expected leaf."""
+    """All Shapley values of a forest of two trees, one of them with two interacting features, against their definition."""
     m = fixed_model()
     m.forest.trees[1].lin = {}
-    return m.shap(rows(spark, d)).select("k", "n", r6(F.col("shap")[0][2], "flag"))
+    return m.shap(rows(spark, d)).select("k", "n", *[r6(F.col("shap")[0][i], c) for i, c in enumerate(("q", "disc", "flag", "base"))])
 
 
 @query(f"WITH {ROWS_SQL} SELECT k, n, round(1 + ({TREE_A}) + CASE WHEN flag IN ('A', 'R') THEN 0.75 ELSE -0.25 END, 6) AS total FROM rows")
@@ -394,9 +367,17 @@ def tree_shap_sums(spark: SparkSession, d: str) -> DataFrame:
     return m.shap(rows(spark, d)).select("k", "n", r6(F.aggregate(F.col("shap")[0], F.lit(0.0), lambda a, b: a + b), "total"))
 
 
-@query("SELECT CAST(sum(CASE WHEN p THEN 1 ELSE 0 END) AS BIGINT) AS problems FROM (VALUES (false)) t(p)")
+@query("""WITH e AS (SELECT DISTINCT n_nationkey AS tree_id, n_regionkey AS r FROM nation) SELECT CAST(tree_id AS INT) AS tree_id, 7 AS node_id, 'child out of range' AS problem FROM e WHERE r = 1 UNION ALL SELECT CAST(tree_id AS INT), 2, 'not reached' FROM e WHERE r = 1
+UNION ALL SELECT CAST(tree_id AS INT), 2, 'not reached' FROM e WHERE r = 2 UNION ALL SELECT CAST(tree_id AS INT), 1, 'reached twice' FROM e WHERE r = 2 UNION ALL SELECT CAST(tree_id AS INT), 0, 'reached twice' FROM e WHERE r = 3 UNION ALL SELECT CAST(tree_id AS INT), 0, 'its own child' FROM e WHERE r = 3 UNION ALL SELECT CAST(tree_id AS INT), 2, 'not reached' FROM e WHERE r = 3""")
 def validate_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return persist.invalid_nodes(fixed_model().table(spark)).agg(F.count("*").alias("problems"))
+    """One tree of three nodes for each nation, broken by its region: a child out of range, one child twice, a root that is its own child."""
+    t = read(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("tree_id"), F.col("n_regionkey").alias("r")).distinct()
+    right = F.when(F.col("r") == 1, 7).when(F.col("r") == 2, 1).when(F.col("r") == 3, 0).otherwise(2)
+    node = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))
+    nodes = t.select("tree_id", "r", node.alias("node_id"))
+    root = F.col("node_id") == 0
+    nodes = nodes.select("tree_id", "node_id", (~root).alias("is_leaf"), F.when(root, 1).alias("left_child"), F.when(root, right).alias("right_child"))
+    return persist.invalid_nodes(nodes)
 
 
 @query(f"WITH {ROWS_SQL} SELECT k, n, round(1 + {TREE_A} + {TREE_B}, 6) AS prediction FROM rows")
@@ -406,6 +387,36 @@ def persist_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return m.transform(rows(spark, d)).select("k", "n", r6(F.col("prediction")[0], "prediction"))
 
 
+def xgboost_dump() -> dict:
+    """TREE_A as the other library's JSON has it."""
+    tree = {
+        "tree_param": {"num_nodes": "5", "size_leaf_vector": "1"}, "left_children": [1, -1, 3, -1, -1], "right_children": [2, -1, 4, -1, -1], "split_indices": [0, 0, 1, 0, 0], "split_conditions": [25.5, -0.5, 0.045, 0.25, 1.5], "base_weights": [0.0, -0.5, 0.0, 0.25, 1.5],
+        "default_left": [0, 0, 1, 0, 0], "loss_changes": [8.0, 0, 3.0, 0, 0], "sum_hessian": [100.0, 60.0, 40.0, 15.0, 25.0], "split_type": [0] * 5, "categories": [], "categories_nodes": [], "categories_segments": [], "categories_sizes": [],
+    }
+    return {"learner": {"feature_names": ["q", "disc"], "learner_model_param": {"base_score": "1", "num_class": "0", "num_feature": "2"}, "objective": {"name": "reg:squarederror"}, "gradient_booster": {"name": "gbtree", "model": {"trees": [tree], "tree_info": [0]}}}}
+
+
+@query(f"WITH {ROWS_SQL} SELECT k, n, round(1 + {TREE_A}, 4) AS prediction FROM rows")
+def convert_xgboost(spark: SparkSession, d: str) -> DataFrame:
+    from thicket.sources import convert
+
+    return convert.from_xgboost(xgboost_dump()).transform(rows(spark, d)).select("k", "n", F.round(F.col("prediction")[0], 4).alias("prediction"))
+
+
+def lightgbm_dump() -> dict:
+    """The same tree with its cuts on the left, as that library compares."""
+    late = {"split_index": 1, "split_feature": 1, "threshold": 0.045, "decision_type": "<=", "default_left": True, "missing_type": "NaN", "split_gain": 3.0, "internal_weight": 40.0, "internal_count": 40, "left_child": {"leaf_index": 1, "leaf_value": 0.25, "leaf_weight": 15.0}, "right_child": {"leaf_index": 2, "leaf_value": 1.5, "leaf_weight": 25.0}}
+    root = {"split_index": 0, "split_feature": 0, "threshold": 25.0, "decision_type": "<=", "default_left": False, "missing_type": "None", "split_gain": 8.0, "internal_weight": 100.0, "internal_count": 100, "left_child": {"leaf_index": 0, "leaf_value": -0.5, "leaf_weight": 60.0}, "right_child": late}
+    return {"name": "tree", "num_class": 1, "num_tree_per_iteration": 1, "objective": "regression", "max_feature_idx": 1, "feature_names": ["q", "disc"], "tree_info": [{"tree_index": 0, "num_leaves": 3, "num_cat": 0, "shrinkage": 1, "tree_structure": root}]}
+
+
+@query(f"WITH {ROWS_SQL} SELECT k, n, round({TREE_A}, 4) AS prediction FROM rows")
+def convert_lightgbm(spark: SparkSession, d: str) -> DataFrame:
+    from thicket.sources import convert
+
+    return convert.from_lightgbm(lightgbm_dump()).transform(rows(spark, d)).select("k", "n", F.round(F.col("prediction")[0], 4).alias("prediction"))
+
+
 # Linear booster
 
 
@@ -502,11 +513,28 @@ def random_split(spark: SparkSession, d: str) -> DataFrame:
     return counts.withColumn("shared", F.lit(train.join(valid, "o_orderkey").count()).cast("long"))
 
 
-@query("""WITH c AS (SELECT count(*) AS n FROM events) SELECT CAST(300 AS BIGINT) AS train, CAST(100 AS BIGINT) AS valid, true AS ordered FROM c""")
+@query("""SELECT event_id, CASE WHEN i < n // 2 THEN 'train' ELSE 'valid' END AS part FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS i, count(*) OVER () AS n FROM events)""")
 def rolling_split(spark: SparkSession, d: str) -> DataFrame:
-    train, valid, _ = E.rolling_origin(read(spark, d, "events").select("event_id", "ts"), ["ts", "event_id"], 300, 100, 3)
-    a, b = (x.agg(F.count("*"), F.min("ts"), F.max("ts")).first() for x in (train, valid))
-    return spark.createDataFrame([(a[0], b[0], a[2] <= b[1])], "train long, valid long, ordered boolean")
+    """Windows that together hold all rows leave one cut to draw: every row's part is known."""
+    t = read(spark, d, "events").select("event_id", "ts")
+    n = t.count()
+    train, valid, _ = E.rolling_origin(t, ["ts", "event_id"], n // 2, n - n // 2, 3)
+    return train.select("event_id", F.lit("train").alias("part")).unionByName(valid.select("event_id", F.lit("valid").alias("part")))
+
+
+@query(f"""WITH {ROWS_SQL}, z AS (SELECT y, m2 AS a, m2 + 1 AS b, m2 + 4 AS c FROM rows), l AS (SELECT y, CASE WHEN y >= a THEN 0 ELSE a - y END AS l0, CASE WHEN y >= a THEN 0.1 * (y - a) ELSE 0.9 * (a - y) END AS l1, CASE WHEN y >= b THEN 0.5 * (y - b) ELSE 0.5 * (b - y) END AS l2, CASE WHEN y >= c THEN 0.9 * (y - c) ELSE (1 - 0.9) * (c - y) END AS l3, CASE WHEN y >= c THEN y - c ELSE 0 END AS l4 FROM z)
+SELECT round(avg(2 * ((l0 + l1) / 2 * 0.1 + (l1 + l2) / 2 * 0.4 + (l2 + l3) / 2 * 0.4 + (l3 + l4) / 2 * 0.1)) / (quantile_cont(y, 0.95) - quantile_cont(y, 0.05)), 6) AS rcrps FROM l""")
+def measures_rcrps(spark: SparkSession, d: str) -> DataFrame:
+    t = rows(spark, d).select("y", F.col("m2").alias("a"), (F.col("m2") + 1).alias("b"), (F.col("m2") + 4).alias("c"))
+    return spark.createDataFrame([(round(E.rcrps(t, ["a", "b", "c"], "y", (0.1, 0.5, 0.9)), 6),)], "rcrps double")
+
+
+@query("SELECT event_id, event_id AS user_id_count, value FROM events")
+def numeric_projection(spark: SparkSession, d: str) -> DataFrame:
+    """Numeric columns by name, without those that a join doubled."""
+    t = read(spark, d, "events")
+    joined = t.select("event_id", "ts", "event_type", "value", F.col("event_id").alias("user_id_count"), F.col("value").alias("value_x"), F.col("user_id").alias("user_id_y"))
+    return E.numeric_columns(joined)
 
 
 @query("SELECT o_orderkey, round((o_totalprice - avg(o_totalprice) OVER ()) / stddev_pop(o_totalprice) OVER (), 4) AS z FROM orders")
@@ -552,13 +580,11 @@ def derived_weights(spark: SparkSession, d: str) -> DataFrame:
     return E.with_weights(rows(spark, d), "y", "k", 3, noise=0.0).select("k", "n", F.col("_w").alias("weight"))
 
 
-@query(f"WITH {ROWS_SQL} SELECT CAST(0 AS BIGINT) AS outside, true AS near FROM rows LIMIT 1")
+@query(f"WITH {ROWS_SQL} SELECT k, n, CASE WHEN y <= 5 THEN q END AS q FROM rows")
 def missing_injection(spark: SparkSession, d: str) -> DataFrame:
-    """A tenth of the rows above the middle lose a value; none below does."""
-    t = E.with_missing(rows(spark, d).withColumn("id", F.col("k") * 8 + F.col("n")), "q", "id", 0.1, 5, F.col("y") > 5)
-    lost = F.isnan("q")
-    share = F.sum(F.when(lost, 1).otherwise(0)) / F.sum(F.when(F.col("y") > 5, 1).otherwise(0))
-    return t.agg(F.sum(F.when(lost & (F.col("y") <= 5), 1).otherwise(0)).cast("long").alias("outside"), F.abs(share - 0.1).between(0, 0.05).alias("near"))
+    """All rows above the middle lose a value; none below does. (Which rows a smaller share hits is a hash's choice.)"""
+    t = E.with_missing(rows(spark, d).withColumn("id", F.col("k") * 8 + F.col("n")), "q", "id", 1.0, 5, F.col("y") > 5)
+    return t.select("k", "n", F.nanvl("q", F.lit(None).cast("double")).alias("q"))
 
 
 @query(f"""WITH {ROWS_SQL}, c AS (SELECT y, sum(sw) OVER (ORDER BY y) / sum(sw) OVER () AS c FROM (SELECT y, sum(w) AS sw FROM rows GROUP BY y)), q AS (SELECT * FROM (VALUES (0.05), (0.5), (0.95)) v(q)),
@@ -580,13 +606,6 @@ def values_by_library(spark: SparkSession, d: str) -> DataFrame:
     return v.select("dataset", "booster", "library", F.size("values").cast("long").alias("n"), r6(F.col("values")[0], "low"), r6(F.element_at("values", -1), "high"))
 
 
-@query("SELECT CAST(1 AS BIGINT) AS tree_id, CAST(3 AS BIGINT) AS nodes, CAST(2 AS BIGINT) AS leaves UNION ALL SELECT 0, 5, 3")
-def inspect_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """The node table is a DataFrame like any other."""
-    t = fixed_model().table(spark)
-    return t.groupBy(F.col("tree_id").cast("long").alias("tree_id")).agg(F.count("*").alias("nodes"), F.sum(F.when(F.col("is_leaf"), 1).otherwise(0)).alias("leaves"))
-
-
 @query(f"""WITH z AS (SELECT date_trunc('hour', ts) AS start, value - (1 + {TREE_A} + {TREE_B}) AS e FROM (SELECT ts, value, user_id % 50 AS q, 0.02 AS disc, 'A' AS flag FROM events)) SELECT start, count(*) AS n, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(abs(e)), 6) AS mae FROM z GROUP BY start""")
 def stream_scores(spark: SparkSession, d: str) -> DataFrame:
     """Events read as a stream and scored; windowed errors."""
@@ -612,3 +631,7 @@ def synthetic_suite(spark: SparkSession, d: str) -> DataFrame:
     reg = E.RunConfig("synthetic_reg", "regression", lambda s: Dataset.from_dataframe(synthetic.regression(s, 500, 5), [f"f{i}" for i in range(5)], "y", row="_row"))
     lin = E.RunConfig("synthetic_lin", "binary", lambda s: Dataset.from_dataframe(synthetic.binary(s, 500, 5), [f"f{i}" for i in range(5)], "y", row="_row"), booster="gblinear")
     return E.run_suite(spark, E.Suite("own", (reg, lin), settings={"n_estimators": 3})).select("config", "seed", "metrics", "error")
+
+
+# the queries that train register themselves after those above
+from thicket import training_queries  # noqa: E402, F401

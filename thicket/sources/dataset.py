@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
@@ -27,6 +28,23 @@ def missing_to_null(c: Column) -> Column:
     return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
 
 
+#: categories up to which their codes are part of the plan; more are a joined table
+MOST_INLINE = 1000
+
+
+def coded(df: DataFrame, value: Column, values: Sequence) -> tuple[DataFrame, Column]:
+    """(df, the place of the value among `values` as a double, null for others). Many values are a small table that df is joined with."""
+    if len(values) <= MOST_INLINE:
+        of = F.create_map(*[x for i, v in enumerate(values) for x in (F.lit(v), F.lit(float(i)))])
+        return df, F.try_element_at(of, value)
+    key, code, asked = (f"_{name}_{uuid.uuid4().hex[:8]}" for name in ("key", "code", "asked"))
+    kind = "string" if isinstance(values[0], str) else "double"
+    codes = df.sparkSession.createDataFrame([(v, float(i)) for i, v in enumerate(values)], f"{key} {kind}, {code} double")
+    # the driver holds these values anyway; adaptive execution broadcasts them if their measured size allows
+    joined = df.withColumn(asked, value).join(codes, F.col(asked) == F.col(key), "left").drop(key, asked)
+    return joined, F.col(code)
+
+
 @dataclass(frozen=True)
 class Dataset:
     """df with feature columns in order (double, null where missing), an optional label and weight, and a row id.
@@ -77,8 +95,11 @@ class Dataset:
                 columns.append(F.lit(None).cast("double").alias(c))
             else:
                 value = F.col(c) if isinstance(kinds[c], (T.StringType, T.BooleanType)) else missing_to_null(F.col(c))
-                of = F.create_map(*[x for i, v in enumerate(codes[c]) for x in (F.lit(v), F.lit(float(i)))])
-                columns.append(F.try_element_at(of, value).alias(c))
+                if codes[c] == tuple(float(i) for i in range(len(codes[c]))):
+                    columns.append(F.when((value >= 0) & (value < len(codes[c])) & (value == F.floor(value)), value).alias(c))
+                else:
+                    df, code = coded(df, value, codes[c])
+                    columns.append(code.alias(c))
         roles = [F.col(x).cast("double").alias(x) for x in (label, weight) if x and x not in features]
         key = F.col(row) if isinstance(row, str) else row if row is not None else F.monotonically_increasing_id()
         return cls(df.select(key.cast("long").alias(ROW), *columns, *roles), tuple(features), frozenset(cats), label, weight, codes)
