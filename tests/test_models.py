@@ -226,3 +226,41 @@ def test_auc_of_very_many_scores_is_exact_and_repeats(spark):
     pos = y.sum()
     want = (rank[y == 1].sum() - pos * (pos + 1) / 2) / (pos * (len(y) - pos))
     assert len(n) > 1_000_000 and len(set(got)) == 1 and abs(got[0] - want) < 1e-9
+
+
+def test_labels_of_several_outputs_stay(spark):
+    x, y = np.arange(12.0).reshape(6, 2), np.stack([np.arange(6.0), -np.arange(6.0)])
+    for labels in (y, y.T):
+        ds = Dataset.from_numpy(spark, x, labels)
+        assert (ds.label, ds.more_labels, ds.n_outputs) == ("y", ("y1",), 2)
+        assert [(r.y, r.y1) for r in ds.df.orderBy("_row").collect()] == [(i, -i) for i in range(6)]
+    with pytest.raises(DatasetError):
+        Dataset.from_numpy(spark, x, np.zeros((3, 4)))
+
+
+def test_sparse_entries(spark):
+    e = spark.createDataFrame([(1, "a", 2.0), (3, "b", None), (3, "a", 4.0), (9, "a", 1.0)], "row long, feature string, value double")
+    rows = spark.createDataFrame([(1, 0.5), (2, 1.0), (3, 2.0)], "row long, y double")
+    ds = Dataset.from_long(e, ["a", "b"], rows=rows, label="y")
+    assert [(r["_row"], r.a, r.b, r.y) for r in ds.df.orderBy("_row").collect()] == [(1, 2.0, 0.0, 0.5), (2, 0.0, 0.0, 1.0), (3, 4.0, None, 2.0)]
+    for bad, kind in ((e.union(e.limit(1)), "duplicate_index"), (e, "index_out_of_bounds")):
+        with pytest.raises(DatasetError) as error:
+            Dataset.from_long(bad, ["a", "b"] if kind == "duplicate_index" else ["a"])
+        assert error.value.kind == kind
+
+
+def test_very_many_categories_are_a_joined_table(spark):
+    from thicket.sources import dataset as D
+
+    df = spark.range(5000).select("id", F.concat(F.lit("c"), F.col("id") % 2500).alias("c"), (F.col("id") % 7).cast("double").alias("y"))
+    ds = Dataset.from_dataframe(df, ["c"], "y", row="id")
+    assert len(ds.categories["c"]) == 2500 > D.MOST_INLINE
+    place = {v: i for i, v in enumerate(ds.categories["c"])}
+    assert all(r.c == place[f"c{r['_row'] % 2500}"] for r in ds.df.collect())
+    t = Tree()
+    t.add(cover=2.0)
+    a, b = t.split(0, 0, 0.0, False, left_cats=range(100))
+    t.value[a], t.value[b] = 1.0, 2.0
+    m = GBDTModel(Forest([t], [0.0]), ("c",), categories=ds.categories)
+    got = m.transform(df.union(spark.createDataFrame([(-1, "unknown", 0.0)], df.schema))).collect()
+    assert all(r.prediction[0] == (1.0 if place.get(r.c, 999) < 100 else 2.0) for r in got) and len(got) == 5001 and set(got[0].asDict()) == {"id", "c", "y", "raw", "prediction"}

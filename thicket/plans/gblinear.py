@@ -143,6 +143,10 @@ def check(ds: Dataset) -> None:
         raise GBLinearError(f"missing values in {', '.join(bad)}")
 
 
+#: features up to which a parallel update of squared loss keeps all products of two features
+MOST_PRODUCTS = 512
+
+
 def sums_of(ds: Dataset, weights: np.ndarray, objective: O.Objective, products: bool) -> list[dict[str, np.ndarray]]:
     """By output: sums G of g, H of h, gx of g x, and hx of h x and hxx of h x x', or of its diagonal without `products`."""
     d, k = len(ds.features), objective.n_outputs
@@ -217,8 +221,10 @@ def train(ds: Dataset, config: GBLinearConfig = GBLinearConfig(), valid: Dataset
     try:
         for _ in range(config.n_estimators):
             if constant is None:
-                sums = sums_of(cached, model.weights, config.objective, products or config.objective.name == "squared")
-                if config.objective.name == "squared":
+                # constant products save later passes, at d x d sums a task; wide data pass again with the diagonal alone
+                shortcut = config.objective.name == "squared" and (products or d <= MOST_PRODUCTS)
+                sums = sums_of(cached, model.weights, config.objective, products or shortcut)
+                if shortcut:
                     constant, first = sums, model.weights.copy()
             else:
                 # squared loss: the gradient sums follow from the change of the weights

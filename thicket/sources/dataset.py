@@ -58,6 +58,12 @@ class Dataset:
     label: str | None = None
     weight: str | None = None
     categories: Mapping[str, tuple] = field(default_factory=dict)
+    #: label columns of further outputs; built-in losses read `label`, the first
+    more_labels: tuple[str, ...] = ()
+
+    @property
+    def n_outputs(self) -> int:
+        return len(self.more_labels) + (1 if self.label else 0)
 
     @property
     def n_features(self) -> int:
@@ -67,14 +73,14 @@ class Dataset:
         return replace(self, df=df)
 
     @classmethod
-    def from_dataframe(cls, df: DataFrame, features: Sequence[str], label: str | None = None, weight: str | None = None, categorical: Sequence[str] = (), row: str | Column | None = None, categories: Mapping[str, Sequence] | None = None) -> Dataset:
+    def from_dataframe(cls, df: DataFrame, features: Sequence[str], label: str | None = None, weight: str | None = None, categorical: Sequence[str] = (), row: str | Column | None = None, categories: Mapping[str, Sequence] | None = None, more_labels: Sequence[str] = ()) -> Dataset:
         """Columns by their role. String, boolean and listed columns are categorical: their sorted values become 0 .. K-1, a missing value stays missing.
 
         categories: the encoding to use, as of a training set, instead of the values here; unknown values are missing.
         """
         if not features:
             raise DatasetError("empty_features", "a dataset needs at least one feature")
-        lost = [c for c in (*features, *(x for x in (label, weight) if x)) if c not in df.columns]
+        lost = [c for c in (*features, *(x for x in (label, weight, *more_labels) if x)) if c not in df.columns]
         if lost:
             raise DatasetError("shape_mismatch", f"no such columns: {', '.join(lost)}")
         kinds = {f.name: f.dataType for f in df.schema.fields}
@@ -100,13 +106,13 @@ class Dataset:
                 else:
                     df, code = coded(df, value, codes[c])
                     columns.append(code.alias(c))
-        roles = [F.col(x).cast("double").alias(x) for x in (label, weight) if x and x not in features]
+        roles = [F.col(x).cast("double").alias(x) for x in (label, weight, *more_labels) if x and x not in features]
         key = F.col(row) if isinstance(row, str) else row if row is not None else F.monotonically_increasing_id()
-        return cls(df.select(key.cast("long").alias(ROW), *columns, *roles), tuple(features), frozenset(cats), label, weight, codes)
+        return cls(df.select(key.cast("long").alias(ROW), *columns, *roles), tuple(features), frozenset(cats), label, weight, codes, tuple(more_labels))
 
     @classmethod
     def from_numpy(cls, spark: SparkSession, x: np.ndarray, labels: np.ndarray | None = None, weights: np.ndarray | None = None, feature_names: Sequence[str] | None = None, categorical_features: Sequence[int] = ()) -> Dataset:
-        """A [rows, features] matrix; labels of one or two dimensions, of which the first output is the label."""
+        """A [rows, features] matrix; labels of one dimension, or of two with the rows along either (of a square the second): the first output is the label, the others more_labels."""
         x = np.asarray(x, dtype=np.float64)
         if x.ndim != 2 or not x.shape[1]:
             raise DatasetError("empty_features", "a matrix with at least one column is needed")
@@ -116,15 +122,37 @@ class Dataset:
         data: dict[str, Any] = {ROW: np.arange(len(x)), **{n: x[:, i] for i, n in enumerate(names)}}
         for name, values in (("y", labels), ("w", weights)):
             if values is not None:
-                v = np.asarray(values, dtype=np.float64)
-                v = v if v.ndim == 1 else v[0] if v.shape[1] == len(x) else v[:, 0]
-                if len(v) != len(x):
-                    raise DatasetError("shape_mismatch", f"{len(v)} values of {name} for {len(x)} rows")
-                data[name] = v
+                v = np.atleast_2d(np.asarray(values, dtype=np.float64))
+                v = v if v.shape[1] == len(x) else v.T
+                if v.shape[1] != len(x) or (name == "w" and len(v) > 1):
+                    raise DatasetError("shape_mismatch", f"{v.shape[1]} values of {name} for {len(x)} rows")
+                data |= {name if i == 0 else f"{name}{i}": row for i, row in enumerate(v)}
         import pyarrow as pa
 
         df = spark.createDataFrame(pa.table({k: pa.array(v) for k, v in data.items()}))
-        return cls.from_dataframe(df, names, "y" if labels is not None else None, "w" if weights is not None else None, [names[i] for i in categorical_features], row=ROW)
+        return cls.from_dataframe(df, names, "y" if labels is not None else None, "w" if weights is not None else None, [names[i] for i in categorical_features], row=ROW, more_labels=[n for n in data if n[:1] == "y" and n[1:].isdigit() and n not in names])
+
+    @classmethod
+    def from_long(cls, entries: DataFrame, features: Sequence[str], row: str = "row", feature: str = "feature", value: str = "value", rows: DataFrame | None = None, label: str | None = None, weight: str | None = None, default: float = 0.0, categorical: Sequence[str] = ()) -> Dataset:
+        """A sparse matrix as a table of (row, feature, value): what has no entry is `default`; a null value is missing.
+
+        One shuffle by row, combined before it; nothing is densified on the driver. rows: a table with the row id, label and
+        weight, whose rows without entries count too; other rows of entries are left out. An entry that is there twice is an
+        error, as is one of a feature that is not named.
+        """
+        odd = entries.groupBy(row, feature).count().where((F.col("count") > 1) | ~F.col(feature).isin(*features)).limit(1).collect()
+        if odd:
+            kind = "duplicate_index" if odd[0]["count"] > 1 else "index_out_of_bounds"
+            raise DatasetError(kind, f"row {odd[0][0]} has {odd[0]['count']} entries of {odd[0][1]}")
+        own = [F.col(feature) == f for f in features]
+        there = [F.when(F.max(c), F.max(F.when(c, F.col(value).cast("double")))).otherwise(F.lit(float(default))).alias(f) for c, f in zip(own, features, strict=True)]
+        wide = entries.groupBy(F.col(row).alias(ROW)).agg(*there)
+        if rows is not None:
+            roles = [c for c in (label, weight) if c]
+            seen = wide.withColumn("_seen", F.lit(True))
+            joined = rows.select(F.col(row).alias(ROW), *roles).join(seen, ROW, "left")
+            wide = joined.select(ROW, *roles, *[F.when(F.col("_seen"), F.col(f)).otherwise(F.lit(float(default))).alias(f) for f in features])
+        return cls.from_dataframe(wide, features, label, weight, categorical, row=ROW)
 
     @classmethod
     def from_pandas(cls, spark: SparkSession, pdf: Any, labels: Any = None, weights: Any = None, categorical: Sequence[str] = ()) -> Dataset:

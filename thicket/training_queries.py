@@ -316,3 +316,12 @@ def gradients_custom(spark: SparkSession, d: str) -> DataFrame:
 def metric_custom(spark: SparkSession, d: str) -> DataFrame:
     own = M.custom("above", lambda ps, y, w: M.ratio(F.when(ps[0] > y, 1.0).otherwise(0.0), w))
     return spark.createDataFrame([(round(own.evaluate(rows(spark, d), ["m"], "y", "w"), 6),)], "above double")
+
+
+@query("""SELECT CAST(user_id AS BIGINT) AS user_id, round(coalesce(sum(CASE WHEN event_type = 'view' THEN value END), 0), 4) AS view, round(coalesce(sum(CASE WHEN event_type = 'purchase' THEN value END), 0), 4) AS purchase FROM events GROUP BY user_id""")
+def sparse_long(spark: SparkSession, d: str) -> DataFrame:
+    """A sparse matrix of users by event types from its entries; absent entries are 0."""
+    t = read(spark, d, "events")
+    entries = t.where(F.col("event_type").isin("view", "purchase")).groupBy("user_id", "event_type").agg(F.sum("value").alias("value"))
+    ds = Dataset.from_long(entries, ["view", "purchase"], "user_id", "event_type", rows=t.select("user_id").distinct())
+    return ds.df.select(F.col("_row").alias("user_id"), F.round("view", 4).alias("view"), F.round("purchase", 4).alias("purchase"))
