@@ -39,4 +39,18 @@ def test_suite_baseline_and_files(spark, tmp_path):
     E.record_baseline(again, f"{tmp_path}/b.json")
     checked = E.check_baseline(again, E.load_baseline(f"{tmp_path}/b.json")).collect()
     assert checked and not any(r.regressed for r in checked)
-    assert "**" in E.markdown(E.summary(again))
+    assert "**" in E.markdown(E.summary(again)) and f"spark: {spark.version}" in E.report(E.summary(again))
+
+
+def test_runners_can_be_registered(spark):
+    from thicket.sources import synthetic
+    from thicket.sources.dataset import Dataset
+
+    @E.runner("mean")
+    def mean(ds, c, settings, seed):
+        return E.GBDTModel(E.GBDTModel.train(ds, E.GBDTConfig(n_estimators=1, max_depth=1)).forest, ds.features)
+
+    load = lambda s: Dataset.from_dataframe(synthetic.regression(s, 200, 2), ["f0", "f1"], "y", row="_row")
+    made = E.run_suite(spark, E.Suite("own", (E.RunConfig("x", "regression", load, booster="mean"), E.RunConfig("x", "regression", load, booster="none")))).collect()
+    E.RUNNERS.pop("mean")
+    assert made[0].error is None and made[0].metrics and "no runner" in made[-1].error

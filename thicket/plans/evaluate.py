@@ -48,7 +48,13 @@ def with_dates(df: DataFrame, ts: str) -> DataFrame:
 
 
 def with_lags(df: DataFrame, column: str, order: Sequence[str], lags: Mapping[str, int], by: Sequence[str] = ()) -> DataFrame:
-    """Values of so many rows before, within each series of `by`."""
+    """Values of so many rows before, within each series of `by`; a table that is one series is numbered by ranges and met with itself."""
+    if not by:
+        rows = numbered(df, order)
+        out = rows
+        for n, k in lags.items():
+            out = out.drop(n).join(rows.select((F.col("_n") + k).alias("_n"), F.col(column).alias(n)), "_n", "left")
+        return out.drop("_n")
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumns({n: F.lag(column, k).over(w) for n, k in lags.items()})
 
@@ -239,7 +245,7 @@ def ablation(kind: str, config: RunConfig) -> list[RunConfig]:
 
 
 def resolved(config: RunConfig, of: Suite, **own: Any) -> dict[str, Any]:
-    return {**BOOSTER_DEFAULTS[config.booster], **config.settings, **of.settings, **own}
+    return {**BOOSTER_DEFAULTS.get(config.booster, {}), **config.settings, **of.settings, **own}
 
 
 def run_seed(seed: int, config: str, library: str) -> int:
@@ -276,6 +282,36 @@ def measures(df: DataFrame, c: RunConfig, label: str, w: str | None) -> dict[str
     return {k: float(v) for k, v in row.items() if v is not None}
 
 
+#: how a booster of that name trains: (dataset, config, settings, seed) -> a model with transform(); more can be registered
+RUNNERS: dict[str, Callable[..., Any]] = {}
+
+
+def runner(name: str) -> Callable:
+    """Registers a way to train under a booster's name, for suites of one's own."""
+
+    def add(f: Callable) -> Callable:
+        RUNNERS[name] = f
+        return f
+
+    return add
+
+
+@runner("gblinear")
+def _linear(ds: Dataset, c: RunConfig, settings: Mapping[str, Any], seed: int) -> Any:
+    kept = tuple(f for f in ds.features if f not in ds.categorical)
+    return gblinear.train(replace(ds, features=kept, categorical=frozenset()), gblinear.GBLinearConfig(objective=objective_of(c), seed=seed, **settings))
+
+
+@runner("linear_trees")
+@runner("gbdt")
+def _trees(ds: Dataset, c: RunConfig, settings: Mapping[str, Any], seed: int) -> Any:
+    from thicket.operators.linear_leaf import LinearLeafConfig
+
+    model = GBDTModel.train(ds, GBDTConfig(objective=objective_of(c), seed=seed, linear_leaves=LinearLeafConfig() if c.booster == "linear_trees" else None, **settings))
+    model.categories = {}  # ds is encoded
+    return model
+
+
 def run_one(spark: SparkSession, c: RunConfig, settings: Mapping[str, Any], seed: int) -> tuple[dict[str, float], float, float]:
     ds = c.load(spark)
     train_df, valid_df = train_valid_split(ds.df, "_row", seed)
@@ -283,14 +319,9 @@ def run_one(spark: SparkSession, c: RunConfig, settings: Mapping[str, Any], seed
         train_df, valid_df, _, _ = standardised(train_df, valid_df, ds.label)
     ds = ds.with_df(train_df)
     began = time.perf_counter()
-    if c.booster == "gblinear":
-        kept = tuple(f for f in ds.features if f not in ds.categorical)
-        model: Any = gblinear.train(replace(ds, features=kept, categorical=frozenset()), gblinear.GBLinearConfig(objective=objective_of(c), seed=seed, **settings))
-    else:
-        from thicket.operators.linear_leaf import LinearLeafConfig
-
-        model = GBDTModel.train(ds, GBDTConfig(objective=objective_of(c), seed=seed, linear_leaves=LinearLeafConfig() if c.booster == "linear_trees" else None, **settings))
-        model.categories = {}  # ds is encoded
+    if c.booster not in RUNNERS:
+        raise ValueError(f"no runner for {c.booster!r}; known: {', '.join(sorted(RUNNERS))}")
+    model: Any = RUNNERS[c.booster](ds, c, settings, seed)
     trained = time.perf_counter()
     got = measures(model.transform(valid_df), c, ds.label, ds.weight)
     return got, trained - began, time.perf_counter() - trained
@@ -370,6 +401,19 @@ def differs(a: Sequence[float], b: Sequence[float], alpha: float = 0.05) -> bool
 HIGHER_IS_BETTER = ("accuracy", "r2", "auc")
 
 
+def machine(spark: SparkSession) -> dict[str, str]:
+    """Where results were made: the driver's system, and what Spark runs on."""
+    import platform
+
+    sc = spark.sparkContext
+    return {"system": platform.platform(), "python": platform.python_version(), "spark": spark.version, "java": spark._jvm.System.getProperty("java.version"), "master": sc.master, "cores": str(sc.defaultParallelism)}
+
+
+def report(rows: DataFrame) -> str:
+    """The table and the machine."""
+    return markdown(rows) + "\n\n" + "\n".join(f"- {k}: {v}" for k, v in machine(rows.sparkSession).items())
+
+
 def markdown(rows: DataFrame) -> str:
     """A summary as a table, the best mean of each dataset and metric in bold."""
     w = Window.partitionBy("dataset", "metric")

@@ -529,6 +529,24 @@ def measures_rcrps(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(round(E.rcrps(t, ["a", "b", "c"], "y", (0.1, 0.5, 0.9)), 6),)], "rcrps double")
 
 
+@query("""SELECT event_id, lag(value, 2) OVER (ORDER BY ts, event_id) AS lag2 FROM events""")
+def lag_whole_table(spark: SparkSession, d: str) -> DataFrame:
+    return E.with_lags(read(spark, d, "events"), "value", ["ts", "event_id"], {"lag2": 2}).select("event_id", "lag2")
+
+
+@query("SELECT event_id, ts FROM events WHERE event_id % 3 <> 0")
+def parse_timestamps(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that are no timestamp go."""
+    text = F.when(F.col("event_id") % 3 == 0, "no time").otherwise(F.col("ts").cast("string"))
+    return E.parsed(read(spark, d, "events").select("event_id", text.alias("ts")), "ts").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("SELECT o_orderstatus AS dataset, 'gbdt' AS booster, o_orderpriority AS library, 'rmse' AS metric, round(avg(o_totalprice / 1000), 4) AS mean, count(*) AS n FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1, 3")
+def summary_of_task(spark: SparkSession, d: str) -> DataFrame:
+    res = fake_results(spark, d).withColumn("task", F.when(F.col("seed") % 2 == 0, "binary").otherwise("regression"))
+    return r4_all(E.summary_by_task(res, "binary"), "mean").select("dataset", "booster", "library", "metric", "mean", "n")
+
+
 @query("SELECT event_id, event_id AS user_id_count, value FROM events")
 def numeric_projection(spark: SparkSession, d: str) -> DataFrame:
     """Numeric columns by name, without those that a join doubled."""

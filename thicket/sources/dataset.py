@@ -107,7 +107,8 @@ class Dataset:
                     df, code = coded(df, value, codes[c])
                     columns.append(code.alias(c))
         roles = [F.col(x).cast("double").alias(x) for x in (label, weight, *more_labels) if x and x not in features]
-        key = F.col(row) if isinstance(row, str) else row if row is not None else F.monotonically_increasing_id()
+        # a row's own values name it, so that samples and splits are the same when the input is read again
+        key = F.col(row) if isinstance(row, str) else row if row is not None else F.xxhash64(*[F.col(c) for c in dict.fromkeys([*features, *(x for x in (label, weight, *more_labels) if x)])])
         return cls(df.select(key.cast("long").alias(ROW), *columns, *roles), tuple(features), frozenset(cats), label, weight, codes, tuple(more_labels))
 
     @classmethod
