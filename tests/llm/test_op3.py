@@ -56,6 +56,18 @@ def test_mix_meets_its_targets(spark, rows, parts):
     assert sorted((str(r.doc_id), r.text or "", r._taken) for r in got) == sorted((str(r.doc_id), r.text or "", r._taken) for r in again)
 
 
+def test_documents_too_long_for_what_is_left_are_skipped(spark):
+    rng = random.Random(5)
+    rows = [(i, "ab"[i % 2], "w " * (rng.choice((4000, 9000, 20_000)) if i % 40 < 2 else rng.randint(1, 60))) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    for seed in (17, 18, 19):
+        taken, goal = defaultdict(int), {}
+        for r in op.mix(df, op.n_words("text"), weights=lambda names: dict.fromkeys(names, 1.0), share=0.37, seed=seed).collect():
+            taken[r.source] += r._taken
+            goal[r.source] = r._target
+        assert all(abs(taken[s] - goal[s]) <= 0.001 * goal[s] for s in "ab"), (taken, goal)
+
+
 def test_repeated_rows_and_empty(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
     out = op.repeated(df)

@@ -1,7 +1,7 @@
 """Mixing sources to target weights.
 
 Each document gets a hash-random key. Keys and sizes alone, without texts, are range-sorted by source and key; partition
-sums give prefix sums of sizes, and each source is cut where its budget ends. The cut is one key a source, so it goes back
+sums give prefix sums of sizes, and each source is cut where its budget ends. The cut is a few keys a source, so it goes back
 to the documents as a small table.
 """
 
@@ -53,21 +53,44 @@ def by_turns(names: Sequence[str | None], weights: Sequence[float] = WEIGHTS) ->
     return dict(zip([*ordered, *([None] if None in names else [])], cycle(weights), strict=False))
 
 
-def mix(docs: DataFrame, size: Column, source: str = "source", key: Sequence[str] = ("doc_id",), weights: Callable[[Sequence[str | None]], dict] = by_turns, share: float = 1.0, most: float = MOST_EPOCHS, seed: int = 17, near_keys: int = 64, names: Sequence[str] = RESULTS) -> DataFrame:
+def advance(ranged: DataFrame, state: list[tuple], small: Callable[[DataFrame], DataFrame], sums: DataFrame | None = None) -> dict[str | None, tuple[int | None, int]]:
+    """By source, (the first key that does not fit, or null where all fit; the sizes before it).
+
+    state: (source, key after which it begins, greatest size that takes part, what is left), nulls for no limit; sources without
+    such rows have no result. Partition sums tell in which partition a source's rest ends, and only its rows are summed one by one.
+    """
+    at = small(ranged.sparkSession.createDataFrame(state, "_cs string, _from long, _bound long, _left double"))
+    rows = ranged.join(at, F.col("_s").eqNullSafe(F.col("_cs"))).where("(_from IS NULL OR _key > _from) AND (_bound IS NULL OR _size <= _bound)")
+    sums = rows.groupBy("_s", "_p").agg(F.sum("_size").alias("n")) if sums is None else sums
+    before = sums.withColumn("before", F.sum("n").over(Window.partitionBy("_s").orderBy("_p")) - F.col("n"))
+    before = stored(before.join(at.select("_cs", "_left"), F.col("_s").eqNullSafe(F.col("_cs"))).select("_cs", "_left", "_p", "before", "n"))
+    out = {r["_cs"]: (None, r["n"]) for r in before.groupBy("_cs").agg(F.sum("n").alias("n")).collect()}
+    ends = before.where("before <= _left AND _left < before + n").select(F.col("_cs").alias("_as"), F.col("_p").alias("_ap"), "before")
+    step = rows.join(small(ends), F.col("_s").eqNullSafe(F.col("_as")) & (F.col("_p") == F.col("_ap"))).groupBy("_s", "before", "_left", "_key").agg(F.sum("_size").alias("n"))
+    step = step.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("_s").orderBy("_key")))
+    fits = F.col("upto") <= F.col("_left")
+    for r in step.groupBy("_s", "before").agg(F.min(F.when(~fits, F.col("_key"))).alias("stop"), F.max(F.when(fits, F.col("upto"))).alias("used")).collect():
+        out[r["_s"]] = (r["stop"], r["used"] if r["used"] is not None else r["before"])
+    return out
+
+
+def mix(docs: DataFrame, size: Column, source: str = "source", key: Sequence[str] = ("doc_id",), weights: Callable[[Sequence[str | None]], dict] = by_turns, share: float = 1.0, most: float = MOST_EPOCHS, seed: int = 17, near: float = 0.001, passes: int = 12, names: Sequence[str] = RESULTS) -> DataFrame:
     """docs with _size, _source_size, _target and _taken: the words that the mix takes from the document, a whole number of times its size.
 
     weights: from the sources' names, null included, to their weights. The budget is `share` of all sizes. A source with
     target T and size S is read floor(T / S) times whole, and of the next time it gives the documents of the smallest keys
-    as long as they fit, and one more of the `near_keys` that follow, the one that fills best what is left. So a source
-    misses its target by half a document at most. The hash of `key` and the seed is the key, and rows that agree in `key`
-    are cut together: `key` should name documents. Sizes of 0 take nothing. The source names go to the driver, one row each, as the weights are given there, and
+    as long as they fit. Where more than `near` of the target is left, the key that does not fit is skipped, and further keys
+    whose documents are no longer than what is left are taken in the same way, in at most `passes` passes; in the end one key
+    more, of all that are left, fills best what still is. So a source misses its target by more than `near` only if no
+    document left over would fit. The hash of `key` and the seed is the key, and rows that agree in `key` and size are cut
+    together: `key` should name documents. Sizes of 0 take nothing. The source names go to the driver, one row each, as the weights are given there, and
     more than MOST_SOURCES of them are an error. Results are the same for every partitioning. `names` are those of the four
     results, and replace columns of those names; no rows: no rows.
     """
     spark = docs.sparkSession
     own = without(docs.columns, names)
     # the tables in between have names of their own; the documents' columns join them only at the end, under spare names
-    size_, key_, source_ = spare([*docs.columns, *names, "_ps", "_source_size", "_target", "_epochs", "_rest", "_low", "_extra"], "_size", "_key", "_s")
+    size_, key_, source_ = spare([*docs.columns, *names, "_ps", "_source_size", "_target", "_epochs", "_rest", "_spans", "_extra"], "_size", "_key", "_s")
     whole_docs = docs.select("*", size.alias(size_), F.xxhash64(F.lit(seed), *[F.col(f"`{k}`") for k in key]).alias(key_), F.col(f"`{source}`").alias(source_))
     sized = whole_docs.select(F.col(source_).alias("_s"), F.col(key_).alias("_key"), F.col(size_).alias("_size"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -88,34 +111,40 @@ def mix(docs: DataFrame, size: Column, source: str = "source", key: Sequence[str
 
     # these tables have a row a source: broadcast up to a number of sources that is known here, joined like any other beyond it
     small = F.broadcast if len(all_names) <= MOST_BROADCAST else lambda df: df
-    # in which partition each source's rest ends, and what stands before that partition
-    before = part_sums.withColumn("before", F.sum("n").over(Window.partitionBy("_s").orderBy("_p")) - F.col("n"))
-    at = before.join(small(plan_df.select("_s", "_rest")), before["_s"].eqNullSafe(plan_df["_s"])).where("before <= _rest AND _rest < before + n").select(before["_s"].alias("_as"), F.col("_p").alias("_ap"), "before", "_rest")
-    # only the rows of those partitions are summed one by one; keys that agree form one step
-    near = ranged.join(small(at), ranged["_s"].eqNullSafe(at["_as"]) & (ranged["_p"] == at["_ap"]))
-    steps = near.groupBy("_s", "before", "_rest", "_key").agg(F.sum("_size").alias("n"))
-    upto = steps.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("_s").orderBy("_key")))
-    # all keys up to _low come in: those whose sums fit, or what stands before a partition whose first does not
-    fits = F.col("upto") <= F.col("_rest")
-    ends = upto.groupBy("_s", "before", "_rest").agg(F.max(F.when(fits, F.col("_key"))).alias("cut"), F.max(F.when(fits, F.col("upto"))).alias("used"), F.min("_key").alias("first")).collect()
-    lows = [(r["_s"], r["cut"] if r["cut"] is not None else max(r["first"] - 1, -(2**63)), float(r["_rest"] - (r["used"] if r["used"] is not None else r["before"]))) for r in ends]
-    lows = spark.createDataFrame(lows, "_cs string, _low long, _left double")  # one row a source
-    # and one key more of the next few, whose size fills best what is left
-    later = ranged.join(small(lows), ranged["_s"].eqNullSafe(lows["_cs"])).where("_key > _low")
-    later = later.withColumn("r", F.dense_rank().over(Window.partitionBy("_s").orderBy("_key"))).where(F.col("r") <= near_keys)
+    taken: dict[str | None, list[tuple[int | None, int | None, int | None]]] = {}
+    end: dict[str | None, tuple[float, int | None, list[int]]] = {}
+    state = [(s, None, None, rest) for s, n, _, _, rest in plan if n and rest > 0]
+    for turn in range(passes):
+        if not state:
+            break
+        found = advance(ranged, state, small, part_sums if turn == 0 else None)
+        after = []
+        for s, low, bound, left in state:
+            if s not in found:
+                continue
+            stop, used = found[s]
+            taken.setdefault(s, []).append((low, stop, bound))
+            left -= used
+            end[s] = (left, stop, [*end.get(s, (0, None, []))[2], *([stop] if stop is not None else [])])
+            if stop is not None and left > near * goal[s]:
+                after.append((s, stop, int(left), left))
+        state = after
+    # and one key more of all that are not taken, whose size fills best what is left
+    open_ = spark.createDataFrame([(s, *e) for s, e in end.items() if e[0] > 0], "_cs string, _left double, _last long, _skipped array<long>")
+    later = ranged.join(small(open_), ranged["_s"].eqNullSafe(open_["_cs"])).where("_key >= _last OR array_contains(_skipped, _key)")
     later = later.groupBy("_s", "_left", "_key").agg(F.sum("_size").alias("n")).withColumn("miss", F.abs(F.col("n") - F.col("_left"))).where("miss < _left")
-    extra = later.groupBy("_s").agg(F.min(F.struct("miss", "_key"))["_key"].alias("_extra")).collect()
-    fill = {r["_s"]: r["_extra"] for r in extra}
-    cuts = [(r["_cs"], r["_low"], fill.get(r["_cs"])) for r in lows.collect()]
-    cuts = spark.createDataFrame(cuts, "_cs string, _low long, _extra long")
+    fill = {r["_s"]: r["_extra"] for r in later.groupBy("_s").agg(F.min(F.struct("miss", "_key"))["_key"].alias("_extra")).collect()}
+    cuts = spark.createDataFrame([(s, spans, fill.get(s)) for s, spans in taken.items()], "_cs string, _spans array<struct<low:long,stop:long,bound:long>>, _extra long")
     whole = plan_df.join(cuts, plan_df["_s"].eqNullSafe(cuts["_cs"]), "left").drop("_cs").withColumnRenamed("_s", "_ps")
     # in the join these names are not the documents'
-    inner = spare([*docs.columns, size_, key_, source_, *names], "_ps", "_source_size", "_target", "_epochs", "_rest", "_low", "_extra")
-    whole = whole.select("_ps", "_source_size", "_target", "_epochs", "_rest", "_low", "_extra").toDF(*inner)
-    ps_, total_, target_, epochs_, _, low_, extra_ = inner
-    more = F.coalesce(F.col(key_) <= F.col(low_), F.lit(False)) | F.coalesce(F.col(key_) == F.col(extra_), F.lit(False))
+    inner = spare([*docs.columns, size_, key_, source_, *names], "_ps", "_source_size", "_target", "_epochs", "_rest", "_spans", "_extra")
+    whole = whole.select("_ps", "_source_size", "_target", "_epochs", "_rest", "_spans", "_extra").toDF(*inner)
+    ps_, total_, target_, epochs_, _, spans_, extra_ = inner
+    at, n = F.col(key_), F.col(size_)
+    within = F.exists(spans_, lambda x: (x["low"].isNull() | (at > x["low"])) & (x["stop"].isNull() | (at < x["stop"])) & (x["bound"].isNull() | (n <= x["bound"])))
+    more = F.coalesce(within, F.lit(False)) | F.coalesce(at == F.col(extra_), F.lit(False))
     out = whole_docs.join(small(whole), whole_docs[source_].eqNullSafe(whole[ps_]), "left")
-    made = (F.col(size_), F.col(total_), F.col(target_), F.col(size_) * (F.col(epochs_) + more.cast("int")))
+    made = (F.col(size_), F.col(total_), F.col(target_), n * (F.col(epochs_) + more.cast("int")))
     return out.select(*[F.col(f"`{c}`") for c in own], *(c.alias(n) for c, n in zip(made, names, strict=True)))
 
 
