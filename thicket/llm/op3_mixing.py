@@ -92,7 +92,8 @@ def mix(docs: DataFrame, size: Column, source: str = "source", key: Sequence[str
     # the tables in between have names of their own; the documents' columns join them only at the end, under spare names
     size_, key_, source_ = spare([*docs.columns, *names, "_ps", "_source_size", "_target", "_epochs", "_rest", "_spans", "_extra"], "_size", "_key", "_s")
     whole_docs = docs.select("*", size.alias(size_), F.xxhash64(F.lit(seed), *[F.col(f"`{k}`") for k in key]).alias(key_), F.col(f"`{source}`").alias(source_))
-    sized = whole_docs.select(F.col(source_).alias("_s"), F.col(key_).alias("_key"), F.col(size_).alias("_size"))
+    # written, so that the range sort's sample and the sort itself do not split the texts again
+    sized = stored(whole_docs.select(F.col(source_).alias("_s"), F.col(key_).alias("_key"), F.col(size_).alias("_size")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = sized.where("_size > 0").repartitionByRange(parts, "_s", "_key")
     ranged = stored(ranged.withColumn("_p", F.spark_partition_id()))
