@@ -82,7 +82,7 @@ def mix(docs: DataFrame, size: Column, source: str = "source", key: Sequence[str
     as long as they fit. Where more than `near` of the target is left, the key that does not fit is skipped, and further keys
     whose documents are no longer than what is left are taken in the same way, in at most `passes` passes; in the end one key
     more, of all that are left, fills best what still is. So a source misses its target by more than `near` only if no
-    document left over would fit. The hash of `key` and the seed is the key, and rows that agree in `key` and size are cut
+    document left over would fit, or the passes did not suffice. The hash of `key` and the seed is the key, and rows that agree in `key` and size are cut
     together: `key` should name documents. Sizes of 0 take nothing. The source names go to the driver, one row each, as the weights are given there, and
     more than MOST_SOURCES of them are an error. Results are the same for every partitioning. `names` are those of the four
     results, and replace columns of those names; no rows: no rows.
