@@ -64,6 +64,66 @@ def test_stage_keeps_one_of_each_class(spark, tmp_path, monkeypatch, part):
     assert kept.dtypes == docs.dtypes and sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
 
 
+def test_anchors_find_the_classes_without_bands(spark, tmp_path, monkeypatch):
+    """Texts of more than SHORT shingles are found by their fingerprints' anchors alone."""
+    monkeypatch.setattr(near_copies, "SHORT", 0)
+    rows = [t for t in texts() if t and len(t.split()) >= 40]
+    root, pairs = classes(rows)
+    assert pairs > 150
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    monkeypatch.setattr(near_copies, "bands", None)
+    kept = corpus_pipeline.near_dedup(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
+
+
+@pytest.mark.parametrize("anchors, shards", [(2_000_000, 1), (5_000, 1), (5_000, 8)])
+def test_blocks_at_two_bits_meet(monkeypatch, anchors, shards):
+    """Whole, in several passes and in shards: every pair of blocks at distance 2 or less with near fingerprints, and none with far ones."""
+    monkeypatch.setattr(near_copies, "ANCHORS", anchors)
+    rng = np.random.default_rng(1)
+    points = np.zeros(1200, near_copies.POINT)
+    points["id"] = rng.permutation(1200) + 7
+    points["word"][:400] = rng.integers(0, 2**32, 400)
+    points["check"][:400] = rng.integers(0, 2**32, (400, 4))
+    points["word"][:20] = points["word"][0]  # a large cell
+    points["check"][:20] = points["check"][0]
+    points[400:800] = points[800:] = points[:400]
+    points["id"] = rng.permutation(1200) + 7
+    for i in range(400, 800):
+        for bit in rng.choice(31, 2, replace=False).tolist():
+            points["word"][i] ^= np.uint32(1 << bit)
+        points["check"][i, 0] ^= np.uint32(2**32 - 1)
+    points["check"][800:] = rng.integers(0, 2**32, (400, 4))
+    root = {int(i): int(i) for i in points["id"]}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for shard in range(shards):
+        for a, b in zip(*near_copies.meeting(points, shard, shards), strict=True):
+            root[find(int(a))] = find(int(b))
+    ids = points["id"].tolist()
+    assert all(find(ids[i]) == find(ids[400 + i]) for i in range(400))
+    assert len({find(i) for i in ids[:20]}) == 1 and len({find(i) for i in ids[:400]}) == 381
+    assert all(find(i) == i for i in ids[800:])
+
+
+def test_shards_find_the_same(spark, monkeypatch):
+    """More texts than a task holds at once: blocks in shards of anchors."""
+    rng = np.random.default_rng(2)
+    sets = []
+    for _ in range(60):
+        x = rng.integers(0, 2**63, 90, dtype=np.uint64)
+        sets += [x, np.concatenate([x[:83], rng.integers(0, 2**63, 7, dtype=np.uint64)])]
+    bits = near_copies.wide_fingerprints(sets)
+    rows = spark.createDataFrame([(i, bytearray(b.tobytes())) for i, b in enumerate(bits)], "id long, bits binary").repartition(3)
+    monkeypatch.setattr(near_copies, "POINTS", 50)
+    got = {(r.a, r.b) if r.a < r.b else (r.b, r.a) for r in near_copies.candidates(rows).collect()}
+    assert got == {(i, i + 1) for i in range(0, 120, 2)}
+
+
 def test_bands_agree_as_often_as_sets_are_similar():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 2**63, 900, dtype=np.uint64)

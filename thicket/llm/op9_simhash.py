@@ -73,20 +73,20 @@ def with_fingerprint(df: DataFrame, keep: list[str], text: str = "text", width:
     return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, ", ".join([*kinds, "fp long"]))
 
 
-def anchors(fp: np.ndarray) -> np.ndarray:
-    """[n, 32] anchors of 64-bit fingerprints: of the point itself, and of its neighbours at distance 1.
+def anchors(fp: np.ndarray, bits: int = 63) -> tuple[np.ndarray, np.ndarray]:
+    """([n, bits + 1] code words, which of them to take): anchors of a fingerprint's lowest bits and of their neighbours at distance 1.
 
-    Bits 0 to 62 are numbered 1 to 63; the syndrome of a word is the XOR of the numbers of its set bits, and flipping the
-    bit with that number gives the nearest code word. Bit 63 is left out. From a point with syndrome s, flipping bit p
-    leads to syndrome s ^ p; flips of p and s ^ p lead to the same anchor.
+    `bits` is 2**r - 1, the length of a Hamming code. Bits are numbered from 1; the syndrome of a word is the XOR of the numbers
+    of its set bits, and flipping the bit with that number gives the nearest code word. Higher bits are left out. From a point
+    with syndrome s, flipping bit p leads to syndrome s ^ p; flips of p and s ^ p lead to the same anchor.
     """
-    number = np.arange(1, 64, dtype=np.uint64)
-    x = fp.astype(np.uint64) & np.uint64(2**63 - 1)
+    number = np.arange(1, bits + 1, dtype=np.uint64)
+    x = fp.astype(np.uint64) & np.uint64(2**bits - 1)
     s = np.zeros(len(x), np.uint64)
     for p in number:
         s ^= np.where(x >> (p - np.uint64(1)) & np.uint64(1), p, np.uint64(0))
     flip = np.concatenate([[0], np.uint64(1) << (number - np.uint64(1))]).astype(np.uint64)
-    q = np.arange(64, dtype=np.uint64)[None, :]
+    q = np.arange(bits + 1, dtype=np.uint64)[None, :]
     other = s[:, None] ^ q
     # the point, after flipping bit q (0: none), decoded by flipping bit s ^ q
     code = x[:, None] ^ flip[q.astype(np.int64)] ^ flip[other.astype(np.int64)]
