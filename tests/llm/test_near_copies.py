@@ -1,12 +1,15 @@
 """The pipeline's near copies against exact similarities of all pairs."""
 
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 import corpus_pipeline
+from tests.conftest import ROOT
 from thicket.llm import near_copies
 from thicket.llm.op9_simhash import shingle_hashes
 
@@ -135,3 +138,21 @@ def test_bands_agree_as_often_as_sets_are_similar():
 def test_empty(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).count() == 0
+
+
+def test_freed_memory_goes_back():
+    """Pieces freed between pieces that stay: 200 MB that the process would hold for its next task."""
+    code = """
+import re
+import numpy as np
+from thicket.llm.common import give_back
+mb = lambda: int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+pieces = [np.ones(1 << (13 if i % 2 else 7)) for i in range(6400)]
+kept = pieces[::2]
+del pieces
+held = mb()
+give_back()
+print(held - mb())
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=ROOT)
+    assert float(out.stdout) > 100

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -46,6 +47,14 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def give_back() -> None:
+    """Freed memory of this process goes back to the system: a Python worker that is used again would hold it beside its next task's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def crc_fold(doc_id: str, mod: int) -> Column:
     """crc32 of the id as text, modulo mod; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod

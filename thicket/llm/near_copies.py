@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thicket.llm.common import slices, small_batches, stored
+from thicket.llm.common import give_back, slices, small_batches, stored
 from thicket.llm.op9_simhash import MOST_BROADCAST, anchors, components, shingle_hashes, wide_hash
 
 WIDTH = 5
@@ -80,6 +80,7 @@ def with_fingerprints(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     """The columns `keep`, fp (the text's hash in 32 digits; empty without a word), n (shingles), bits (the wide fingerprint) and keys (bands of a text of up to SHORT different shingles, else none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in slices(batches, "_text", 1 << 19):
             offsets, hashes = shingle_hashes(batch.column("_text"), WIDTH)
             n = np.diff(offsets)
@@ -95,6 +96,7 @@ def with_fingerprints(df: DataFrame, keep: list[str], text: str) -> DataFrame:
                 [*(batch.column(k) for k in keep), fp, pa.array(n), pa.array([b.tobytes() for b in bits], pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(keys.ravel()))],
                 [*keep, "fp", "n", "bits", "keys"],
             )
+        give_back()
 
     kinds = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep]
     asked = df.select(*keep, wide_hash([text]).alias("fp"), F.col(text).alias("_text"))
@@ -181,6 +183,7 @@ def candidates(texts: DataFrame) -> DataFrame:
         shards *= 2
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint32).reshape(-1, BLOCKS)
             units, blobs = [], []
@@ -203,6 +206,7 @@ def candidates(texts: DataFrame) -> DataFrame:
             a, b = meeting(np.frombuffer(b"".join(held), POINT), unit % shards, shards)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
+        give_back()
         unit, held = None, []
         for batch in batches:
             for u, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -213,6 +217,8 @@ def candidates(texts: DataFrame) -> DataFrame:
                 held.append(blob)
         if held:
             yield found(unit, held)
+        del held
+        give_back()
 
     dealt_out = texts.select("id", "bits").mapInArrow(deal, "unit long, points binary").repartition(min(BLOCKS * shards, 4096), "unit").sortWithinPartitions("unit")
     spark = texts.sparkSession
@@ -226,6 +232,7 @@ def shingle_sets(df: DataFrame, text: str, row: str, members: DataFrame) -> Data
     """(id, block, part, set): the different shingles of the texts whose row is in members (id, block, part, row)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in slices(batches, "_text", 1 << 19):
             offsets, hashes = shingle_hashes(batch.column("_text"), WIDTH)
             sets = [np.unique(hashes[a:b]).view(np.int64) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
@@ -296,6 +303,7 @@ def grouped(rows: DataFrame, by: list[str], fields: list[str], act: Callable[...
     cells = rows.groupBy(*by).agg(F.collect_list(F.struct("id", "set", *fields)).alias("m")).where("size(m) > 1").select("m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             for cell in batch.column(0):
                 ids, lists, *more = (cell.values.field(k) for k in range(2 + len(fields)))
