@@ -4,7 +4,9 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 
 from thicket.llm import op7_brown as op
 
@@ -29,6 +31,19 @@ def likelihood(n, label, classes):
     return op.xlogx(pair).sum() - op.xlogx(pair.sum(0)).sum() - op.xlogx(pair.sum(1)).sum()
 
 
+def test_endings_are_taken_of_other_words_alone(monkeypatch):
+    words = pa.array("the thing é the 水 was of thing x".split()).slice(1)
+    ids, hashes, known = op.hash_words(words)
+    assert [known[i].decode() for i in ids] == words.to_pylist() and len(set(known)) == len(known)
+    assert hashes.view(np.uint64).tolist() == [xxhash.xxh64_intdigest(w) for w in known]
+    units = op.Units(np.sort(hashes[:3]), 16)
+    want = [units.heads.tolist().index(h) if h in units.heads else 3 + xxhash.xxh32_intdigest(w[-3:]) % 16 for h, w in zip(hashes.tolist(), known, strict=True)]
+    asked, plain = [], op.ending
+    monkeypatch.setattr(op, "ending", lambda known, endings: asked.extend(known) or plain(known, endings))
+    assert units.of(hashes, known).tolist() == want and asked == known[3:]
+    assert [len(x) for x in op.hash_words(pa.array([], pa.string()))] == [0, 0, 0]
+
+
 def test_exchange_ends_where_no_move_helps():
     rng = np.random.default_rng(1)
     n = rng.integers(0, 30, (25, 25)).astype(float)

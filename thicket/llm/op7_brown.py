@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thicket.llm.common import crc_fold, slices, small_batches, spare, split_words, stored, sum_by, table, without
+from thicket.llm.common import crc_fold, slices, small_batches, spare, split_words, stored, sum_by, table, text_bytes, without
 
 #: the hash that stands for the end of a text; no word can hold a space
 END_HASH = int(np.uint64(xxhash.xxh64_intdigest(b" end ")).astype(np.int64))
@@ -31,9 +31,12 @@ ALPHA = 0.5
 def hash_words(words: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """(each word's place among the different words, their hashes as signed 64 bits, the words)."""
     d = words.dictionary_encode()
-    known = d.dictionary.cast(pa.binary()).to_pylist()
-    h = xxhash.xxh64_intdigest
-    hashes = np.fromiter((h(w) for w in known), np.uint64, count=len(known)).view(np.int64)
+    known = []
+    if len(d.dictionary):
+        at, data = text_bytes(d.dictionary)
+        raw, at = data.tobytes(), at.tolist()
+        known = [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, count=len(known)).view(np.int64)
     return d.indices.to_numpy().astype(np.int64), hashes, known
 
 
@@ -57,7 +60,9 @@ class Units:
     def of(self, hashes: np.ndarray, known: list[bytes]) -> np.ndarray:
         at = np.searchsorted(self.heads, hashes)
         is_head = self.heads[np.minimum(at, max(len(self.heads) - 1, 0))] == hashes if len(self.heads) else np.zeros(len(hashes), bool)
-        return np.where(is_head, at, len(self.heads) + ending(known, self.endings))
+        rest = np.flatnonzero(~is_head)
+        at[rest] = len(self.heads) + ending([known[i] for i in rest.tolist()], self.endings)
+        return at
 
 
 def sequence(units_of_words: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
