@@ -228,3 +228,15 @@ def test_goss_keeps_exactly_the_greatest(spark):
     above = int((size >= least).sum())
     assert abs(share - 70 / (700 - above)) < 1e-12 and abs(scale - 560 / 70) < 1e-9
     trainer.close()
+
+
+def test_bounds_come_from_the_values_of_all_rows(spark):
+    from thicket.operators.binning import BinningConfig, fit, wanted_ranks
+    from thicket.queries import rounded
+
+    n = 250_000
+    v = np.random.default_rng(8).permutation(n) * 0.5 - 20_000.0
+    (m,) = fit(Dataset.from_numpy(spark, v[:, None]), BinningConfig(max_bins=64))
+    s = np.sort(v)
+    assert m.bounds[:-1] == tuple((s[r] + s[r + 1]) / 2 for r in wanted_ranks(n, 64))
+    assert rounded(-480.6837665) == -480.683767 and rounded(2.5, 0) == 3.0

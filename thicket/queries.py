@@ -5,6 +5,7 @@ Floating results are rounded on both sides, to six digits or, for sums of many r
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -44,6 +45,11 @@ def r6(c: Column, name: str) -> Column:
     return F.round(c.cast("double"), 6).alias(name)
 
 
+def rounded(x: float, digits: int = 6) -> float:
+    """As SQL rounds doubles: halves of the scaled value away from 0. round() decides them by digits beyond, which a midpoint of two values may have or not."""
+    return math.copysign(math.floor(abs(x) * 10**digits + 0.5), x) / 10**digits
+
+
 # Rows with a target, features (one of them missing at times), a weight and margins
 
 ROWS_SQL = """rows AS (SELECT l_orderkey AS k, l_linenumber AS n, l_extendedprice / 10000 AS y, l_quantity AS q, CASE WHEN l_linenumber % 5 <> 0 THEN l_discount END AS disc, l_tax AS tax,
@@ -165,7 +171,7 @@ SELECT round((v + f) / 2, 6) AS bound FROM r JOIN w USING (k)""")
 def bin_bounds(spark: SparkSession, d: str) -> DataFrame:
     ds = Dataset.from_dataframe(read(spark, d, "customer"), ["c_acctbal"], row="c_custkey")
     (m,) = binning.fit(ds, binning.BinningConfig(max_bins=64))
-    return spark.createDataFrame([(round(b, 6),) for b in m.bounds[:-1]], "bound double")
+    return spark.createDataFrame([(rounded(b),) for b in m.bounds[:-1]], "bound double")
 
 
 @query(f"""WITH {ROWS_SQL}, b AS (SELECT k, n, disc, (SELECT count(*) FROM (SELECT DISTINCT disc AS x FROM rows WHERE disc IS NOT NULL) d) AS m, dense_rank() OVER (ORDER BY disc NULLS LAST) - 1 AS r FROM rows)
