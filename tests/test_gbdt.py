@@ -240,3 +240,22 @@ def test_bounds_come_from_the_values_of_all_rows(spark):
     s = np.sort(v)
     assert m.bounds[:-1] == tuple((s[r] + s[r + 1]) / 2 for r in wanted_ranks(n, 64))
     assert rounded(-480.6837665) == -480.683767 and rounded(2.5, 0) == 3.0
+
+
+def test_workers_remember_no_margins_that_the_blocks_have(spark):
+    """A view of a block's own margins would keep its whole batch; base margins need no memory."""
+    from thicket.plans import kernel as K
+
+    K._margins.clear()
+    K._held = 0
+    layout = K.layout_of(np.array([4]))
+    state = K.State("one", [], [0.5, 1.5], np.array([-1]), lambda m, y, w: (m, m), layout)
+
+    def block(i, stored):
+        n = 100
+        m = np.full((2, n), 3.0) if stored else np.empty(0)
+        return K.Block(i, n, np.arange(n, dtype=np.uint16)[None] % 4, np.zeros(n), np.ones(n), m, None, np.empty(0))
+
+    for i in range(4):
+        assert (K.margins(state, block(i, True)) == 3.0).all() and (K.margins(state, block(i, False)) == [[0.5], [1.5]]).all()
+    assert not K._margins and not K._held

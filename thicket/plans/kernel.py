@@ -8,7 +8,6 @@ costs those few trees again, however long the forest.
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -18,7 +17,7 @@ import pyarrow as pa
 from thicket.operators.forest import Tree
 from thicket.operators.sampling import hash01
 
-_margins: OrderedDict[tuple[str, int], tuple[int, np.ndarray]] = OrderedDict()
+_margins: dict[tuple[str, int], tuple[int, np.ndarray]] = {}
 _held = 0
 BLOCK = "block long, n int, ids binary, bins binary, raw binary, y binary, w binary, m binary"
 
@@ -164,7 +163,7 @@ class State:
     kernel: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
     layout: Layout
     n_raw: int = 0
-    memory: int = 256 << 20
+    memory: int = 64 << 20
     subsample: float = 1.0
     goss: tuple[float, float, float] | None = None
     seed: int = 0
@@ -204,8 +203,18 @@ def blocks(batch: pa.RecordBatch, state: State) -> Iterator[Block]:
 
 
 def margins(state: State, b: Block) -> np.ndarray:
-    """[groups, rows] after all trees."""
+    """[groups, rows] after all trees.
+
+    What is remembered are sums of trees that the blocks do not have yet, of one run at a time for training and validation
+    rows: margins without such trees are the block's own, a view of its batch that must not keep the batch alive. When the
+    memory is full, blocks that are not in it are added anew each time; evicting for them would lose every block before its turn.
+    """
     global _held
+    if not state.trees:
+        return b.m if len(b.m) else np.repeat(np.array(state.base)[:, None], b.n, axis=1)
+    run = state.run.split()[0]
+    for old in [k for k in _margins if k[0].split()[0] != run]:
+        _held -= _margins.pop(old)[1].nbytes
     key = (state.run, b.block)
     done, m = _margins.pop(key, (0, None))
     if m is not None:
@@ -216,11 +225,9 @@ def margins(state: State, b: Block) -> np.ndarray:
         m = m.copy()
         for t in state.trees[done:]:
             m[t.group] += t.predict(b.bins, state.missing, state.layout, b.raw)
-    _margins[key] = (len(state.trees), m)
-    _held += m.nbytes
-    while _held > state.memory and len(_margins) > 1:
-        _, (_, old) = _margins.popitem(last=False)
-        _held -= old.nbytes
+    if _held + m.nbytes <= state.memory:
+        _margins[key] = (len(state.trees), m)
+        _held += m.nbytes
     return m
 
 
@@ -245,8 +252,9 @@ def settle_job(state: State) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = pa.array([margins(state, b).tobytes() for b in blocks(batch, state)], pa.binary())
-            yield batch.set_column(batch.schema.get_field_index("m"), "m", made)
+            for i, b in enumerate(blocks(batch, state)):
+                made = pa.array([margins(state, b).tobytes()], pa.binary())
+                yield batch.slice(i, 1).set_column(batch.schema.get_field_index("m"), "m", made)
 
     return run
 
