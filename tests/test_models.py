@@ -182,6 +182,22 @@ def test_builders_and_errors(spark):
         assert e.value.kind == kind
 
 
+def test_interpolated_quantiles_take_the_same_jobs_for_any_number_of_values(spark):
+    def jobs(n):
+        df = spark.range(n).selectExpr("IF(id % 7 = 3, NULL, CAST(id AS DOUBLE)) AS y", "1.0 + id % 3 AS w")
+        spark.sparkContext.setJobGroup(f"quantiles {n}", "")
+        got = E.weighted_quantile_interpolated(df, "y", "w", [0.05, 0.5, 0.95])
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        v = np.arange(n, dtype=float)[np.arange(n) % 7 != 3]
+        w = 1.0 + v % 3
+        assert np.abs(np.array(got) - np.interp([0.05, 0.5, 0.95], np.cumsum(w) / w.sum(), v)).max() < 1e-6
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"quantiles {n}"))
+
+    assert jobs(5_000) == jobs(900_000)
+    df = spark.createDataFrame([(2.0, 1.0)], "y double, w double")
+    assert E.weighted_quantile_interpolated(df, "y", None, [0.1, 0.9]) == [2.0, 2.0]
+
+
 def test_quantile_measures_and_tests(spark):
     df = spark.createDataFrame([(float(i), 1.0 + i % 3, float(i % 5)) for i in range(50)], "y double, w double, p double")
     v, w = np.arange(50.0), np.array([1.0 + i % 3 for i in range(50)])

@@ -21,6 +21,7 @@ from thicket.operators.model import GBDTModel
 from thicket.operators.ranking import numbered
 from thicket.plans import gblinear
 from thicket.plans.gbdt import GBDTConfig
+from thicket.session import materialised
 from thicket.sources.dataset import Dataset
 
 # Preparation
@@ -165,31 +166,40 @@ def crps(ps: Sequence[Column], y: Column, q: Sequence[float]) -> Column:
 
 
 def weighted_quantile_interpolated(df: DataFrame, value: str, w: str | None, q: Sequence[float]) -> list[float]:
-    """Linear between values at their cumulated share of weight; unlike objectives.weighted_quantile."""
+    """Linear between values at their cumulated share of weight; unlike objectives.weighted_quantile.
+
+    Values with their weights are written once by ranges. One job sums each range, one more reads the ranges in which levels lie: their number is that of the shuffle's partitions, however many values there are.
+    """
     weight = F.col(w) if w else F.lit(1.0)
-    by = df.groupBy(F.col(value).alias("v")).agg(F.sum(weight).alias("w"))
-    rows = numbered(by, ["v"]).withColumn("_b", (F.col("_n") / 100_000).cast("long"))
-    sums = sorted(rows.groupBy("_b").agg(F.sum("w")).collect())
-    total = sum(s for _, s in sums)
+    by = df.select(F.col(value).alias("v"), weight.cast("double").alias("w")).where("v IS NOT NULL").groupBy("v").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("w"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialised(materialised(by).repartitionByRange(parts, "v").withColumn("p", F.spark_partition_id()))
+    sums = sorted(ranged.groupBy("p").agg(F.sum("w"), F.max("v")).collect())
+    total, before, asked = sum(s for _, s, _ in sums), 0.0, {}
+    for i, (p, s, _) in enumerate(sums):
+        for k, level in enumerate(q):
+            if k not in asked and (before + s >= level * total or i == len(sums) - 1):
+                asked[k] = (p, before, (sums[i - 1][2], before) if i else None)
+        before += s
+    if not asked:
+        return []
+    starts = {p: b for p, b, _ in asked.values()}
+    start = F.try_element_at(F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]), F.col("p"))
+    cum = F.sum("w").over(Window.partitionBy("p").orderBy("v")) + start
+    found = []
+    for k, (p, _, _) in asked.items():
+        own, goal = F.col("p") == p, q[k] * total
+        found += [F.min(F.when(own & (F.col("c") >= goal), F.struct("v", "c"))).alias(f"above{k}"), F.max(F.when(own & (F.col("c") < goal), F.struct("v", "c"))).alias(f"below{k}")]
+    row = ranged.where(F.col("p").isin(*starts)).withColumn("c", cum).agg(*found).first()
     out = []
-    for level in q:
-        goal, before, lower = level * total, 0.0, None
-        for b, s in sums:
-            if before + s >= goal or b == sums[-1][0]:
-                part = rows.where(F.col("_b") == b).withColumn("c", F.sum("w").over(Window.partitionBy("_b").orderBy("v")) + F.lit(before))
-                above = part.where(F.col("c") >= goal).orderBy("v").first()
-                below = part.where(F.col("c") < goal).orderBy(F.desc("v")).first()
-                low = (below["v"], below["c"]) if below else lower
-                if above is None:
-                    out.append(float(low[0]))
-                elif low is None:
-                    out.append(float(above["v"]))
-                else:
-                    out.append(float(low[0] + (above["v"] - low[0]) * (goal - low[1]) / (above["c"] - low[1])))
-                break
-            last = rows.where(F.col("_b") == b).agg(F.max("v")).first()[0]
-            before += s
-            lower = (last, before)
+    for k, level in enumerate(q):
+        goal, above, low = level * total, row[f"above{k}"], row[f"below{k}"] or asked[k][2]
+        if above is None:
+            out.append(float(low[0]))
+        elif low is None:
+            out.append(float(above["v"]))
+        else:
+            out.append(float(low[0] + (above["v"] - low[0]) * (goal - low[1]) / (above["c"] - low[1])))
     return out
 
 

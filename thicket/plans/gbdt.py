@@ -62,7 +62,7 @@ class GBDTConfig:
     #: rounds after which margins are written with the blocks; between, each job adds at most so many rounds' trees
     margin_rounds: int = 8
     #: bytes of margins that a worker remembers
-    margin_bytes: int = 256 << 20
+    margin_bytes: int = 64 << 20
     #: bytes of histograms that the driver keeps
     histogram_bytes: int = 512 << 20
 
