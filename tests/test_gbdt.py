@@ -259,3 +259,21 @@ def test_workers_remember_no_margins_that_the_blocks_have(spark):
     for i in range(4):
         assert (K.margins(state, block(i, True)) == 3.0).all() and (K.margins(state, block(i, False)) == [[0.5], [1.5]]).all()
     assert not K._margins and not K._held
+
+
+def test_what_workers_remember_stays_within_its_bytes():
+    """Of more blocks than fit, the first stay, so a pass over all finds them again; another run's go first."""
+    from dataclasses import replace
+
+    from thicket.plans import kernel as K
+
+    K._margins.clear()
+    K._held = 0
+    n = 100
+    state = K.State("one", [K.BinTree(value=[1.0])], [0.5], np.array([-1]), lambda m, y, w: (m, m), K.layout_of(np.array([4])), memory=3 * 8 * n)
+    made = [K.Block(i, n, np.zeros((1, n), np.uint16), np.zeros(n), np.ones(n), np.empty(0), None, np.empty(0)) for i in range(6)]
+    for state in (state, replace(state, run="one", trees=state.trees * 2), replace(state, run="two")):
+        for b in made:
+            assert (K.margins(state, b) == 0.5 + len(state.trees)).all()
+            assert K._held <= state.memory and K._held == sum(m.nbytes for _, m in K._margins.values())
+        assert sorted(K._margins) == [(state.run, i) for i in range(3)]
