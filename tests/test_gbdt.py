@@ -277,3 +277,21 @@ def test_what_workers_remember_stays_within_its_bytes():
             assert (K.margins(state, b) == 0.5 + len(state.trees)).all()
             assert K._held <= state.memory and K._held == sum(m.nbytes for _, m in K._margins.values())
         assert sorted(K._margins) == [(state.run, i) for i in range(3)]
+
+
+def test_a_first_round_leaves_nothing_in_a_worker():
+    import pyarrow as pa
+
+    from thicket.plans import kernel as K
+
+    K._margins.clear()
+    K._held = 0
+    n = 50
+    state = K.State("first", [], [0.5], np.array([-1]), lambda m, y, w: (w * (m - y), w[None]), K.layout_of(np.array([4])))
+    bins = (np.arange(n) % 4).astype(np.uint16)
+    made = pa.RecordBatch.from_pydict({"block": [1, 2], "n": pa.array([n, n], pa.int32()), "bins": [bins.tobytes()] * 2, "y": [np.ones(n).tobytes()] * 2, "w": [np.ones(n).tobytes()] * 2, "m": [b""] * 2})
+    tree = K.BinTree()
+    tree.split(0, 0, 1, False, None)
+    got = pa.Table.from_batches(K.histogram_job(state, {0: tree}, {0: [1, 2]})(iter([made])))
+    assert got["n"].to_pylist() == [26.0, 26.0, 24.0, 24.0] and got["g"].to_pylist() == [-13.0, -13.0, -12.0, -12.0]
+    assert not K._margins and not K._held
